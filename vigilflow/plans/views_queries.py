@@ -1,0 +1,3 @@
+"""Point lookups and plain reads of the domain views."""
+
+from __future__ import annotations
