@@ -1,4 +1,7 @@
 """All registered queries; importing the modules registers them."""
 
-from vigilflow.plans import views_queries  # noqa: F401
+from vigilflow.plans import (  # noqa: F401
+    analytics_queries,
+    hunting_queries,
+)
 from vigilflow.plans.registry import ORACLES, QUERIES  # noqa: F401
