@@ -2,6 +2,7 @@
 
 from vigilflow.plans import (  # noqa: F401
     analytics_queries,
+    case_queries,
     hunting_queries,
 )
 from vigilflow.plans.registry import ORACLES, QUERIES  # noqa: F401
