@@ -4,5 +4,6 @@ from vigilflow.plans import (  # noqa: F401
     analytics_queries,
     case_queries,
     hunting_queries,
+    report_queries,
 )
 from vigilflow.plans.registry import ORACLES, QUERIES  # noqa: F401
