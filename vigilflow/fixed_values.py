@@ -248,3 +248,16 @@ SEVERITY_WEIGHTS = (0.4, 0.3, 0.3)
 
 # --- Fixed values: retention --------------------------------------------------
 AUDIT_RETENTION_DAYS = 90
+
+# --- Fixed values: numeric fields of a flow payload ---------------------------
+FLOW_NUMERIC_FIELDS = [
+    "destination_port", "flow_duration", "total_fwd_packets", "total_backward_packets",
+    "total_length_of_fwd_packets", "total_length_of_bwd_packets", "fwd_packet_length_max",
+    "fwd_packet_length_min", "fwd_packet_length_mean", "bwd_packet_length_mean",
+    "flow_bytes_per_s", "flow_packets_per_s", "flow_iat_mean", "flow_iat_std", "flow_iat_max",
+    "flow_iat_min", "fwd_psh_flags", "bwd_psh_flags", "fwd_header_length", "bwd_header_length",
+    "fwd_packets_per_s", "bwd_packets_per_s", "min_packet_length", "max_packet_length",
+    "packet_length_mean", "packet_length_std", "fin_flag_count", "syn_flag_count",
+    "rst_flag_count", "psh_flag_count", "ack_flag_count", "urg_flag_count",
+    "down_per_up_ratio", "average_packet_size", "protocol",
+]

@@ -3,6 +3,7 @@
 from vigilflow.plans import (  # noqa: F401
     analytics_queries,
     case_queries,
+    flow_queries,
     hunting_queries,
     report_queries,
 )
