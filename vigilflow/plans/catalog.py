@@ -5,6 +5,7 @@ from vigilflow.plans import (  # noqa: F401
     case_queries,
     flow_queries,
     hunting_queries,
+    model_queries,
     report_queries,
 )
 from vigilflow.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass, field
 
-from vigilflow.operators import cleaning, fitting
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from vigilflow import fixed_values as V
+from vigilflow.operators import cleaning, evaluation, fitting, forest, isolation
 from vigilflow.operators.analytics import counts_with_share
+from vigilflow.session import settle
 
 
 def prepare_dataset(raw: DataFrame, scaler: str = "robust") -> tuple[DataFrame, fitting.FittedParams]:
@@ -55,3 +59,95 @@ def dataset_metadata(raw: DataFrame, name: str, is_sample: bool) -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("label", F.lit("nan")).alias("k"), F.struct("count", "percentage").alias("v"))))).alias("m")
     )
     return row.withColumn("label_distribution", shares.scalar())
+
+
+@dataclass
+class Models:
+    """Everything scoring needs, with the evaluation of the held-out rows."""
+
+    params: fitting.FittedParams
+    anomaly: isolation.IsolationModel
+    threat: forest.ThreatModel
+    train_rows: int = 0
+    test_rows: int = 0
+    stratified: bool = False
+    metrics: dict = field(default_factory=dict)
+
+    def catalog(self, spark: SparkSession, version: str = "1.0.0") -> DataFrame:
+        """One row: version, split, settings, classes, metrics, top features."""
+        importance = forest.feature_importance(spark, self.threat)
+        top = [r["feature"] for r in importance.limit(10).collect()]
+        row = {
+            "model_version": version,
+            "train_samples": self.train_rows,
+            "test_samples": self.test_rows,
+            "stratified": self.stratified,
+            "total_features": len(self.threat.features),
+            "top_features": ",".join(top),
+            "anomaly_trees": int(self.anomaly.nodes["tree"].nunique()),
+            "anomaly_sample": self.anomaly.sample,
+            "anomaly_contamination": V.FOREST_CONTAMINATION,
+            "classifier_trees": self.threat.forest.getNumTrees,
+            "classifier_depth": self.threat.forest.getMaxDepth(),
+            "random_state": V.SEED,
+            "classes": ",".join(self.threat.classes),
+            **{k: float(v) for k, v in self.metrics.items()},
+        }
+        return spark.createDataFrame([row])
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.params.save(spark, f"{path}/params")
+        self.anomaly.save(spark, f"{path}/anomaly")
+        self.threat.save(spark, f"{path}/threat")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Models":
+        return cls(
+            fitting.FittedParams.load(spark, f"{path}/params"),
+            isolation.IsolationModel.load(spark, f"{path}/anomaly"),
+            forest.ThreatModel.load(spark, f"{path}/threat"),
+        )
+
+
+def train(raw: DataFrame, key: list[str], scaler: str = "robust", depth: int = V.CLASSIFIER_DEPTH) -> Models:
+    """Clean, label, split, fit on the training part only, grow both models and
+    evaluate them on the test part.
+
+    Each stage that is read more than once is written to the scratch folder.
+    """
+    labelled = cleaning.normalize_labels(cleaning.exact_dedup(cleaning.normalize_columns(raw)))
+    if "normalized_label" not in labelled.columns:
+        raise ValueError("training needs a label column")
+    split = settle(fitting.train_test_split(labelled, "normalized_label", key), "split")
+    labels = ["original_label", "normalized_label", "is_intrusion"]
+    inputs = [c for c in split.columns if c not in (*labels, "is_test", *key)]
+    params = fitting.fit(split.filter("NOT is_test").select(*inputs))
+    matrix = settle(fitting.transform(split, params, keep=[*key, "normalized_label", "is_intrusion", "is_test"]), "matrix")
+    features = params.feature_names()
+    seen, held = matrix.filter("NOT is_test"), matrix.filter("is_test")
+    anomaly = isolation.fit(seen, features, key)
+    threat = forest.fit(seen, features, "normalized_label", depth=depth)
+    scored = forest.score(isolation.score(held, anomaly), threat).select(
+        "normalized_label", "predicted_threat", "is_intrusion", "is_anomaly", "anomaly_score"
+    )
+    scored = settle(scored, "held-out")
+    quality = evaluation.classifier_metrics(scored, "normalized_label", "predicted_threat", threat.classes).first()
+    outliers = evaluation.anomaly_metrics(scored).first()
+    agreement = evaluation.anomaly_validation(scored, "is_intrusion").first()
+    sizes = matrix.groupBy("is_test").count().collect()
+    rows = {r["is_test"]: r["count"] for r in sizes}
+    smallest = min(forest.classes_of(matrix, "normalized_label").values())
+    return Models(
+        params, anomaly, threat, rows.get(False, 0), rows.get(True, 0), smallest >= 2,
+        {**quality.asDict(), **outliers.asDict(), **agreement.asDict()},
+    )
+
+
+def write_evaluation(path: str, **frames: DataFrame) -> None:
+    """Tables as CSV, reports and metrics as JSON."""
+    for name, frame in frames.items():
+        small = frame.coalesce(1)  # class counts only
+        if name in ("confusion_matrix", "feature_importance"):
+            small.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+        else:
+            small.write.mode("overwrite").json(f"{path}/{name}")

@@ -25,7 +25,7 @@ def iso(ts: str) -> str:
 
 def fixed(x: str, digits: int) -> str:
     """Fixed-point text with half-up rounding of the decimal value."""
-    return f"CAST(CAST(CAST({x} AS DECIMAL(28,10)) AS DECIMAL(28,{digits})) AS VARCHAR)"
+    return f"CAST(CAST(CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)) AS DECIMAL(28,{digits})) AS VARCHAR)"
 
 
 def pct(part: str, whole: str) -> str:
