@@ -7,5 +7,6 @@ from vigilflow.plans import (  # noqa: F401
     hunting_queries,
     model_queries,
     report_queries,
+    stream_queries,
 )
 from vigilflow.plans.registry import ORACLES, QUERIES  # noqa: F401
