@@ -12,6 +12,7 @@ from vigilflow.functions.expr import any_of, count_if, literal_map
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean")
 WHITESPACE = " \t\n\r\f\v"
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def is_numeric(dtype: str) -> bool:
@@ -74,8 +75,9 @@ class Hygiene:
 def inspect_infinite(df: DataFrame) -> Hygiene:
     """Counts per column in one pass over the data."""
     found = {c: is_infinite(c, d) for c, d in df.dtypes if is_floating(d) or d == "string"}
+    # a pattern, since a failing cast costs an exception per row
     bad_text = {
-        c: F.col(f"`{c}`").isNotNull() & ~found[c] & F.expr(f"try_cast(`{c}` AS double)").isNull()
+        c: F.col(f"`{c}`").isNotNull() & ~found[c] & ~F.col(f"`{c}`").rlike(NUMBER)
         for c, d in df.dtypes
         if d == "string"
     }

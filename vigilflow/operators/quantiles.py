@@ -1,123 +1,140 @@
 """Exact quantiles of many columns at any size.
 
-A distributed selection: each wanted order statistic is kept in a bracket that
-a bounded sketch (``percentile_approx``) narrows pass by pass; counts prove that
-the bracket still holds the statistic.  Only when few rows are left in a bracket
-are they read.  No shuffle of rows, no task holds more than a sketch.
+A distributed selection.  Each wanted order statistic lives in an open interval
+between two values whose ranks are known.  A pass takes pivots inside the
+interval from a bounded sketch (``percentile_approx``) and counts the rows below
+and up to each pivot: either a pivot is the answer (so values with many copies
+are settled at once) or the interval shrinks.  Only when few rows are left in it
+are they read.  No shuffle of rows, and no task holds more than a sketch.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilflow.functions.expr import count_if
 
-ACCURACY = 10_000
-MARGIN = 3 / ACCURACY
+ACCURACY = 2_000
+MARGIN = 2 / ACCURACY
+READ_BATCH = 50
 
 
 @dataclass
-class _Target:
+class _Rank:
+    """The value at one zero-based rank of a column."""
+
     column: str
-    prob: float
-    n: int
+    rank: int
+    end: int  # rows below the upper bound
     low: float | None = None
     high: float | None = None
-    margin: float = MARGIN
-    below: int = 0
-    inside: int = 0
+    below: int = 0  # rows up to the lower bound
     value: float | None = None
-    done: bool = False
-    ranks: tuple[int, int] = field(default=(0, 0))
 
-    def __post_init__(self):
-        self.inside = self.n
-        position = self.prob * (self.n - 1)
-        self.ranks = (math.floor(position), math.ceil(position))
+    @property
+    def inside(self) -> int:
+        return self.end - self.below
+
+    @property
+    def interval(self) -> tuple:
+        return self.column, self.low, self.high
+
+    def apply(self, pivot: float, less: int, up_to: int) -> None:
+        if less <= self.rank < up_to:
+            self.value = pivot
+        elif up_to <= self.rank and up_to >= self.below:
+            self.low, self.below = pivot, up_to
+        elif self.rank < less <= self.end:
+            self.high, self.end = pivot, less
+
+
+def _values(interval: tuple) -> Column:
+    column, low, high = interval
+    c = F.col(f"`{column}`").cast("double")
+    if low is not None and high is not None:
+        return F.when((c > low) & (c < high), c)
+    if low is not None:
+        return F.when(c > low, c)
+    return F.when(c < high, c) if high is not None else c
 
-    def here(self) -> Column:
-        c = F.col(f"`{self.column}`").cast("double")
-        if self.low is None:
-            return c
-        return F.when(c.between(self.low, self.high), c)
 
-    def interpolate(self, first: float, second: float) -> None:
-        share = self.prob * (self.n - 1) - self.ranks[0]
-        self.value, self.done = first + (second - first) * share, True
+def _by_interval(ranks: list[_Rank]) -> dict[tuple, list[_Rank]]:
+    groups: dict[tuple, list[_Rank]] = {}
+    for r in ranks:
+        groups.setdefault(r.interval, []).append(r)
+    return groups
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], read_limit: int = 5_000, direct_limit: int = 2_000_000
+    df: DataFrame, columns: list[str], probs: list[float], read_limit: int = 20_000, direct_limit: int = 2_000_000
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of the non-NULL values per column.
 
     Inputs of at most ``direct_limit`` cells take one plain aggregate; larger
-    ones are narrowed until at most ``read_limit`` rows are left per bracket.
+    ones are narrowed until at most ``read_limit`` rows are left per interval.
     """
     if not columns:
         return {}
-    counts = df.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    if sum(counts) <= direct_limit:
+    counted = df.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    sizes = {c: counted[i] for i, c in enumerate(columns)}
+    if sum(sizes.values()) <= direct_limit:
         row = df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), list(probs)).alias(f"q{i}") for i, c in enumerate(columns)]).first()
         return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(columns)}
-    targets = [_Target(c, p, counts[i]) for i, c in enumerate(columns) for p in probs]
-    for t in targets:
-        t.done = t.n == 0
-    while open_targets := [t for t in targets if not t.done]:
-        small = [t for t in open_targets if t.inside <= read_limit]
-        large = [t for t in open_targets if t.inside > read_limit]
-        if small:
-            _read(df, small)
-        if large:
-            _narrow(df, large)
-    return {c: [t.value for t in targets if t.column == c] for c in columns}
-
-
-def _read(df: DataFrame, targets: list[_Target]) -> None:
-    """Fetches brackets of at most ``read_limit`` rows, a few per job."""
-    for start in range(0, len(targets), 50):
-        batch = targets[start : start + 50]
-        row = df.agg(*[F.sort_array(F.collect_list(t.here())).alias(f"v{i}") for i, t in enumerate(batch)]).first()
-        for i, t in enumerate(batch):
-            first, second = (row[i][r - t.below] for r in t.ranks)
-            t.interpolate(first, second)
-
-
-def _narrow(df: DataFrame, targets: list[_Target]) -> None:
-    # targets that still share a bracket share one sketch
-    groups: dict[tuple, list[_Target]] = {}
-    for t in targets:
-        groups.setdefault((t.column, t.low, t.high), []).append(t)
+    ranks: dict[tuple[str, int], _Rank] = {}
+    for c, n in sizes.items():
+        for p in probs if n else ():
+            for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1))):
+                ranks.setdefault((c, r), _Rank(c, r, n))
+    while unsettled := [r for r in ranks.values() if r.value is None]:
+        few = [r for r in unsettled if r.inside <= read_limit]
+        many = [r for r in unsettled if r.inside > read_limit]
+        if few:
+            _read(df, few)
+        if many:
+            _narrow(df, many)
+    return {c: [_interpolate(ranks, c, n, p) for p in probs] for c, n in sizes.items()}
+
+
+def _interpolate(ranks: dict, column: str, n: int, prob: float) -> float | None:
+    if not n:
+        return None
+    position = prob * (n - 1)
+    first, second = (ranks[column, f(position)].value for f in (math.floor, math.ceil))
+    return first + (second - first) * (position - math.floor(position))
+
+
+def _read(df: DataFrame, ranks: list[_Rank]) -> None:
+    """Fetches intervals of at most ``read_limit`` rows, some per job."""
+    groups = list(_by_interval(ranks).items())
+    for start in range(0, len(groups), READ_BATCH):
+        batch = groups[start : start + READ_BATCH]
+        row = df.agg(*[F.sort_array(F.collect_list(_values(k))).alias(f"v{i}") for i, (k, _) in enumerate(batch)]).first()
+        for i, (_, members) in enumerate(batch):
+            for r in members:
+                r.value = row[i][r.rank - r.below]
+
+
+def _narrow(df: DataFrame, ranks: list[_Rank]) -> None:
+    groups = _by_interval(ranks)
     sketches = []
-    for shared in groups.values():
-        around = []
-        for t in shared:
-            first, last = ((r + 0.5 - t.below) / t.inside for r in t.ranks)
-            around += [max(0.0, first - t.margin), min(1.0, last + t.margin)]
-        sketches.append(F.percentile_approx(shared[0].here(), around, ACCURACY))
-    ends = df.agg(*[s.alias(f"s{i}") for i, s in enumerate(sketches)]).first()
-    brackets = {}
-    for found, shared in zip(ends, groups.values()):
-        for j, t in enumerate(shared):
-            brackets[id(t)] = found[2 * j], found[2 * j + 1]
-    brackets = [brackets[id(t)] for t in targets]
+    for interval, members in groups.items():
+        near = [(r.rank + 0.5 - r.below) / r.inside for r in members]
+        shares = {min(1.0, max(0.0, s + d)) for s in near for d in (-MARGIN, 0.0, MARGIN)}
+        sketches.append(F.percentile_approx(_values(interval), sorted(shares), ACCURACY))
+    found = df.agg(*[s.alias(f"s{i}") for i, s in enumerate(sketches)]).first()
+    pivots: dict[str, set[float]] = {}
+    for (column, _, _), values in zip(groups, found):
+        pivots.setdefault(column, set()).update(values)
+    marks = [(c, v) for c, values in pivots.items() for v in sorted(values)]
     checks = []
-    for i, t in enumerate(targets):
-        c = F.col(f"`{t.column}`").cast("double")
-        low, high = brackets[i]
-        checks += [count_if(c < low).alias(f"b{i}"), count_if(c.between(low, high)).alias(f"i{i}")]
-    found = df.agg(*checks).first()
-    for i, t in enumerate(targets):
-        low, high = brackets[i]
-        below, inside = found[f"b{i}"], found[f"i{i}"]
-        if not (below <= t.ranks[0] and t.ranks[1] < below + inside):
-            t.margin *= 4  # the sketch missed: widen and try again
-        elif low == high:
-            t.interpolate(low, high)
-        else:
-            if inside == t.inside:
-                t.margin /= 2  # a few heavy values: look closer
-            t.low, t.high, t.below, t.inside = low, high, below, inside
+    for i, (column, pivot) in enumerate(marks):
+        c = F.col(f"`{column}`").cast("double")
+        checks += [count_if(c < pivot).alias(f"l{i}"), count_if(c <= pivot).alias(f"u{i}")]
+    counts = df.agg(*checks).first()
+    for i, (column, pivot) in enumerate(marks):
+        for r in ranks:
+            if r.column == column and r.value is None:
+                r.apply(pivot, counts[f"l{i}"], counts[f"u{i}"])

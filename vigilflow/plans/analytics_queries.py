@@ -47,6 +47,16 @@ def threat_distribution(t):
     return A.threat_distribution(t.domain.predictions)
 
 
+@query(
+    "share_of_total",
+    f"""SELECT action, count(*) AS count, {pct("count(*)", "(SELECT count(*) FROM audit_logs)")} AS percentage
+    FROM audit_logs GROUP BY 1""",
+    "audit_logs",
+)
+def share_of_total(t):
+    return A.counts_with_share(t.domain.audit_logs, "action", "action")
+
+
 @query(
     "severity_distribution",
     f"""SELECT l.severity, count(p.id) AS count, {pct("count(p.id)", "(SELECT count(*) FROM predictions)")} AS percentage

