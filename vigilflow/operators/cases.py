@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilflow import fixed_values as V
 from vigilflow.functions.expr import blank_as_null, iso, or_default
+from vigilflow.functions.skew import join_facts
 from vigilflow.operators.paging import newest_per_group
 from vigilflow.session import settle
 
@@ -85,7 +86,7 @@ def alert_with_prediction(alerts: DataFrame, predictions: DataFrame) -> DataFram
     extra = predictions.select(
         F.col("id").alias("prediction_id"), "anomaly_label", "predicted_threat", "destination_port", "protocol", "total_bytes"
     )
-    return alerts.join(extra, "prediction_id", "left")
+    return join_facts(alerts, extra, "prediction_id")
 
 
 def audit_for_resource(audit: DataFrame, entity: DataFrame, resource_type: str | None, key: str = "id") -> DataFrame:
@@ -104,7 +105,7 @@ def asset_context(predictions: DataFrame, nodes: DataFrame) -> DataFrame:
     known = nodes.select(
         F.col("ip_address").alias("destination_ip"), "hostname", "environment", "criticality_level"
     )
-    return predictions.join(known, "destination_ip", "left")
+    return join_facts(predictions, known, "destination_ip")
 
 
 # --- intelligence ---------------------------------------------------------------
@@ -121,7 +122,7 @@ def intel_enrich(df: DataFrame, column: str, intel: DataFrame, normalise: bool =
         F.lit(True).alias("_hit"),
         "reputation", "confidence", "categories", "notes",
     )
-    joined = df.withColumn("_key", key).join(entries, "_key", "left")
+    joined = join_facts(df.withColumn("_key", key), entries, "_key")
     return joined.select(
         *df.columns,
         F.coalesce("_hit", F.lit(False)).alias("found"),
@@ -169,14 +170,15 @@ def prediction_investigation(
 def check_assignee(requests: DataFrame, users: DataFrame, column: str = "assigned_to") -> DataFrame:
     """Adds ``assignee_problem``: NULL when the operator may take cases."""
     known = users.select(F.col("username").alias("_user"), "role", "is_active")
-    joined = requests.join(known, F.trim(F.col(column)) == F.col("_user"), "left")
+    named = requests.withColumn("_user", F.trim(F.col(column)))
+    joined = join_facts(named, known.withColumn("_known", F.lit(True)), "_user")
     problem = (
         F.when(blank_as_null(column).isNull(), None)
-        .when(F.col("_user").isNull(), "unknown operator")
+        .when(F.col("_known").isNull(), "unknown operator")
         .when(~F.col("is_active"), "inactive operator")
         .when(F.upper("role") == "VIEWER", "viewer role")
     )
-    return joined.withColumn("assignee_problem", problem).drop("_user", "role", "is_active")
+    return joined.withColumn("assignee_problem", problem).drop("_user", "_known", "role", "is_active")
 
 
 def inherit(requests: DataFrame, alerts: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -190,7 +192,7 @@ def inherit(requests: DataFrame, alerts: DataFrame, predictions: DataFrame) -> D
         F.col("id").alias("prediction_id"), F.lit(True).alias("prediction_found"), F.col("risk_level").alias("p_severity"),
         F.col("predicted_threat").alias("p_category"), F.col("source_ip").alias("p_source"),
     )
-    both = requests.join(a, "alert_id", "left").join(p, "prediction_id", "left")
+    both = join_facts(join_facts(requests, a, "alert_id"), p, "prediction_id")
     found_alert = F.coalesce("alert_found", F.lit(False))
     found_prediction = F.coalesce("prediction_found", F.lit(False))
 
@@ -276,12 +278,12 @@ def create_incidents(
         .otherwise(F.col("assignee_problem"))
     )
     place = F.struct("created_at", "request_id")
-    judged = filled.join(taken, "alert_id", "left").withColumn("_early", early).withColumn("_late", late)
+    judged = join_facts(filled, taken, "alert_id").withColumn("_early", early).withColumn("_late", late)
     good = F.col("_early").isNull() & F.col("_late").isNull()
     firsts = judged.filter(has_alert & good).groupBy("alert_id").agg(F.min(place).alias("_first"))
     reason = F.coalesce("_early", F.when(F.col("_first") < place, "active incident exists"), F.col("_late"))
     judged = (
-        judged.join(firsts, "alert_id", "left")
+        join_facts(judged, firsts, "alert_id")
         .withColumn("reason", reason)
         .drop("_taken", "_first", "_early", "_late", "assignee_problem")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilflow import fixed_values as V
 from vigilflow.functions.expr import count_if
+from vigilflow.functions.skew import join_facts, join_facts_spread
 
 
 def find_column(df: DataFrame, what: str) -> str | None:
@@ -126,14 +127,15 @@ def connections_per_destination(flows: DataFrame, destination: str = "destinatio
 
 
 def with_connection_frequency(flows: DataFrame, destination: str = "destination_ip") -> DataFrame:
-    return flows.join(connections_per_destination(flows, destination), destination, "left")
+    counts = connections_per_destination(flows, destination)
+    return join_facts_spread(flows, counts, destination, "connections")
 
 
 def severity_score(predictions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Weighted confidence, outlier degree and asset criticality (0..1)."""
     w_conf, w_outlier, w_asset = V.SEVERITY_WEIGHTS
     asset = nodes.select(F.col("ip_address").alias("destination_ip"), "criticality_level")
-    joined = predictions.join(asset, "destination_ip", "left")
+    joined = join_facts(predictions, asset, "destination_ip")
     score = (
         F.col("classification_confidence") * w_conf
         + F.col("anomaly_score") * w_outlier

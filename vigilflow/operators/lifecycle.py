@@ -3,7 +3,7 @@
 Both state machines only move forward, so the outcome follows from the first
 request of each kind.  Those firsts are plain ``min`` aggregates, which combine
 on the map side: an alert with a third of all requests never has to be folded
-row by row in one task.
+row by row in one task, and its requests are spread when the firsts are joined.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilflow import fixed_values as V
+from vigilflow.functions.skew import join_facts, join_facts_spread
 
 # Requests of one entity are applied in (requested_at, request_id) order.
 PLACE = ["requested_at", "request_id"]
@@ -35,7 +36,7 @@ def _before(a: Column, b: Column) -> Column:
 def _prepared(requests: DataFrame, entities: DataFrame, key: str) -> DataFrame:
     target = F.upper(F.trim("target"))
     status = entities.select(F.col("id").alias(key), F.upper("status").alias("initial"))
-    return requests.withColumn("target", target).join(status, key, "left")
+    return join_facts(requests.withColumn("target", target), status, key)
 
 
 def alert_transitions(requests: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -47,13 +48,14 @@ def alert_transitions(requests: DataFrame, alerts: DataFrame) -> DataFrame:
     """
     r = _prepared(requests, alerts, "alert_id")
     firsts = r.groupBy("alert_id").agg(
+        F.count(F.lit(1)).alias("_n"),
         F.when(F.first("initial").isin("NEW", "ACKNOWLEDGED"), _first("RESOLVED")).alias("resolved"),
         F.when(F.first("initial") == "NEW", _first("ACKNOWLEDGED")).alias("first_ack"),
     )
     firsts = firsts.withColumn(
         "acked", F.when(_before(F.col("first_ack"), F.col("resolved")), F.col("first_ack"))
     ).drop("first_ack")
-    joined = r.join(firsts, "alert_id")
+    joined = join_facts_spread(r, firsts, "alert_id", "_n")
     here = _place()
     before = (
         F.when(F.col("resolved") < here, "RESOLVED").when(F.col("acked") < here, "ACKNOWLEDGED").otherwise(F.col("initial"))
@@ -102,24 +104,26 @@ def incident_transitions(requests: DataFrame, incidents: DataFrame) -> DataFrame
     r = r.withColumn("usable", (F.col("target") != "RESOLVED") | (summary >= V.MIN_RESOLUTION_LENGTH))
     initial = F.first("initial")
     end = r.groupBy("incident_id").agg(
+        F.count(F.lit(1)).alias("_n"),
         F.when(initial != "RESOLVED", _first("RESOLVED", F.col("usable"))).alias("resolved"),
         F.when(initial == "OPEN", _first("ACKNOWLEDGED")).alias("first_ack"),
     )
     end = end.withColumn("acked", F.when(_before(F.col("first_ack"), F.col("resolved")), F.col("first_ack"))).drop("first_ack")
     # requests that meet an acknowledged (or later) case
     here = _place()
-    known = r.join(end, "incident_id")
+    known = join_facts_spread(r, end, "incident_id", "_n").drop("_n")
     open_now = (F.col("resolved").isNull()) | (here < F.col("resolved"))
     past_ack = F.when(F.col("initial") == "OPEN", F.col("acked") < here).otherwise(F.col("initial") != "RESOLVED")
     live = known.withColumn("live", F.coalesce(open_now & past_ack, F.lit(False)))
     middle = live.groupBy("incident_id").agg(
+        F.count(F.lit(1)).alias("_n"),
         F.when(F.first("initial").isin("OPEN", "ACKNOWLEDGED", "INVESTIGATING"), _first("CONTAINED", F.col("live"))).alias("contained"),
         F.when(F.first("initial").isin("OPEN", "ACKNOWLEDGED"), _first("INVESTIGATING", F.col("live"))).alias("first_inv"),
     )
     middle = middle.withColumn(
         "investigated", F.when(_before(F.col("first_inv"), F.col("contained")), F.col("first_inv"))
     ).drop("first_inv")
-    joined = live.join(middle, "incident_id")
+    joined = join_facts_spread(live, middle, "incident_id", "_n")
     before = (
         F.when(F.col("resolved") < here, "RESOLVED")
         .when(F.col("contained") < here, "CONTAINED")

@@ -36,7 +36,7 @@ def report_incidents(df, window, severity=None, category=None) -> DataFrame:
 
 
 def _counts_map(df: DataFrame, column: str) -> Column:
-    """value -> rows as one map; NULL counts as UNKNOWN."""
+    """value -> rows as one map (a handful of levels); NULL counts as UNKNOWN."""
     per_value = df.groupBy(or_default(column, "UNKNOWN").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     return per_value.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("m")).scalar()
 

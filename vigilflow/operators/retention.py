@@ -23,12 +23,10 @@ def with_month(df: DataFrame, at: str) -> DataFrame:
 def write_by_month(df: DataFrame, at: str, path: str, skip_key: str | None = None, mode: str = "append") -> None:
     """Parquet partitioned by year and month.
 
-    Rows are spread by month and a hash, so a busy month is written by many
-    tasks; sorting by ``skip_key`` lets readers skip row groups.
+    The rebalance lets AQE cut a busy month into files of the advisory size and
+    merge quiet ones; sorting by ``skip_key`` lets readers skip row groups.
     """
-    dated = with_month(df, at)
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-    placed = dated.withColumn("_salt", salt).repartition("year", "month", "_salt").drop("_salt")
+    placed = with_month(df, at).hint("rebalance", F.col("year"), F.col("month"))
     if skip_key:
         placed = placed.sortWithinPartitions("year", "month", skip_key)
     placed.write.mode(mode).partitionBy("year", "month").parquet(path)
