@@ -27,32 +27,17 @@ def _v4_tail_as_groups(c: Column) -> Column:
     return F.concat(F.regexp_replace(c, r"[0-9.]+$", ""), high, F.lit(":"), low)
 
 
-def canonical_ipv6(text: Column) -> Column:
-    """Shortest lower-case form; NULL when it is no IPv6 address.
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _shortest(plain: Column) -> Column:
+    """Eight groups without leading zeros to the shortest form.
 
-    Groups lose leading zeros, and the first of the longest runs of two or more
-    zero groups becomes ``::``.
+    The first of the longest runs of two or more zero groups becomes ``::``; a
+    mapped IPv4 address is written with dots.
     """
-    low = F.lower(text)
-    zone = F.regexp_extract(low, "%(.*)$", 1)
-    zone = F.when(low.contains("%"), F.concat(F.lit("%"), F.regexp_extract(text, "%(.*)$", 1))).otherwise("")
-    zone_ok = ~low.contains("%") | zone.rlike("^%[^%]+$")
-    bare = F.regexp_replace(low, "%.*$", "")
-    dotted = bare.rlike(r"\.")
-    tail_ok = ~dotted | F.regexp_extract(bare, r":([0-9.]+)$", 1).rlike(IPV4)
-    bare = F.when(dotted & tail_ok, _v4_tail_as_groups(bare)).otherwise(bare)
-    gaps = F.regexp_count(bare, F.lit("::"))
-    full = bare.rlike(f"^{GROUP}(:{GROUP}){{7}}$")
-    short = bare.rlike(f"^(({GROUP}(:{GROUP}){{0,6}})?)::(({GROUP}(:{GROUP}){{0,6}})?)$") & (gaps == 1)
-    given = F.size(F.filter(F.split(bare, ":"), lambda g: g != ""))
-    short = short & (given <= 7)
-    missing = F.array_join(F.array_repeat(F.lit("0"), (F.lit(8) - given).cast("int")), ":")
-    opened = F.regexp_replace(bare, "::", "/")
-    left, right = F.substring_index(opened, "/", 1), F.substring_index(opened, "/", -1)
-    expanded = F.when(full, bare).when(
-        short, F.concat_ws(":", F.when(left != "", left), missing, F.when(right != "", right))
-    )
-    plain = F.array_join(F.transform(F.split(expanded, ":"), lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
     mapped = plain.rlike("^0:0:0:0:0:ffff:[0-9a-f]{1,4}:[0-9a-f]{1,4}$")
     pair = F.transform(F.slice(F.split(plain, ":"), 7, 2), lambda g: F.conv(g, 16, 10).cast("int"))
     quad = F.concat_ws(
@@ -63,8 +48,34 @@ def canonical_ipv6(text: Column) -> Column:
         zeros = f"(?:^|:)0(?::0){{{run - 1}}}(?::|$)"
         shorter = F.regexp_replace(plain, f"^(.*?){zeros}(.*)$", "$1::$2")
         packed = F.when(plain.rlike(zeros), shorter).otherwise(packed)
-    packed = F.when(mapped, F.concat(F.lit("::ffff:"), quad)).otherwise(packed)
-    return F.when(zone_ok & tail_ok & (full | short), F.concat(packed, zone))
+    return F.when(mapped, F.concat(F.lit("::ffff:"), quad)).otherwise(packed)
+
+
+def _expanded(bare: Column) -> Column:
+    """All eight groups without leading zeros; NULL when they are not there."""
+    gaps = F.regexp_count(bare, F.lit("::"))
+    full = bare.rlike(f"^{GROUP}(:{GROUP}){{7}}$")
+    given = F.size(F.filter(F.split(bare, ":"), lambda g: g != ""))
+    ends = f"({GROUP}(:{GROUP}){{0,6}})?"
+    short = bare.rlike(f"^({ends})::({ends})$") & (gaps == 1) & (given <= 7)
+    missing = F.array_join(F.array_repeat(F.lit("0"), (F.lit(8) - given).cast("int")), ":")
+    left, right = F.substring_index(bare, "::", 1), F.substring_index(bare, "::", -1)
+    groups = F.when(full, bare).when(
+        short, F.concat_ws(":", F.when(left != "", left), missing, F.when(right != "", right))
+    )
+    return F.regexp_replace(groups, "(^|:)0+(?=[0-9a-f])", "$1")
+
+
+def canonical_ipv6(text: Column) -> Column:
+    """Shortest lower-case form; NULL when it is no IPv6 address."""
+    low = F.lower(F.substring_index(text, "%", 1))
+    zone = F.regexp_extract(text, "(%.*)$", 1)
+    zone_ok = ~text.contains("%") | zone.rlike("^%[^%]+$")
+    dotted = low.contains(".")
+    tail_ok = F.regexp_extract(low, r":([0-9.]+)$", 1).rlike(IPV4)
+    bare = F.when(~dotted, low).when(tail_ok, _v4_tail_as_groups(low))
+    packed = _let(bare, lambda b: _let(_expanded(b), _shortest))
+    return F.when(zone_ok, F.concat(packed, zone))
 
 
 def canonical_ip(c: Column | str) -> Column:
