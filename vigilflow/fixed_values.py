@@ -35,6 +35,20 @@ LOGIN_FAILURE = "LOGIN_FAILURE"
 ACCESS_DENIED = "ACCESS_DENIED"
 RATE_LIMIT_EXCEEDED = "RATE_LIMIT_EXCEEDED"
 INCIDENT_AUDIT_ACTIONS = ["INCIDENT_ASSIGNED", "INCIDENT_STATUS_CHANGED"]
+AUDIT_ACTIONS = [
+    "LOGIN_SUCCESS", "LOGIN_FAILURE", "LOGOUT", "ACCESS_DENIED", "PREDICTION_CREATED",
+    "ALERT_ACKNOWLEDGED", "ALERT_RESOLVED", "WEBSOCKET_AUTH_SUCCESS", "WEBSOCKET_AUTH_FAILURE",
+    "RATE_LIMIT_EXCEEDED", "ANALYTICS_VIEWED", "THREAT_INTELLIGENCE_LOOKUP", "INVESTIGATION_VIEWED",
+    "INCIDENT_CREATED", "INCIDENT_ASSIGNED", "INCIDENT_STATUS_CHANGED", "INCIDENT_NOTE_ADDED",
+    "INCIDENT_VIEWED", "REPORT_GENERATED", "REPORT_EXPORTED", "INCIDENT_EVIDENCE_EXPORTED",
+    "THREAT_HUNT_SEARCHED", "SOURCE_INVESTIGATION_VIEWED", "THREAT_HUNT_HISTORY_VIEWED",
+    "SECURITY_ERROR",
+]
+AUDIT_OUTCOMES = ["SUCCESS", "FAILURE", "DENIED"]
+AUDIT_RESOURCES = [
+    "AUTH", "ACCESS_CONTROL", "PREDICTION", "ALERT", "WEBSOCKET", "RATE_LIMIT", "ANALYTICS",
+    "THREAT_INTELLIGENCE", "INCIDENT", "REPORT", "EVIDENCE", "HUNTING", "SYSTEM",
+]
 
 # --- Fixed values: raw label -> threat class, tried in this order -----------
 LABEL_CLASSES = {

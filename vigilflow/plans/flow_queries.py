@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from vigilflow import fixed_values as V
@@ -649,16 +651,27 @@ def validate_flow_payload(t):
 
 @query(
     "check_constraints",
-    "SELECT 'traffic' AS entity, id, 'destination_port out of range' AS reasons FROM traffic_records WHERE destination_port > 65535 UNION ALL SELECT 'threat', id, 'severity not allowed' FROM threat_events WHERE severity = 'SEVERE'",
-    "traffic_records threat_events",
+    """SELECT 'traffic' AS entity, id, 'destination_port out of range' AS reasons FROM traffic_records WHERE destination_port > 65535
+    UNION ALL SELECT 'threat', id, 'severity not allowed' FROM threat_events WHERE severity = 'SEVERE'
+    UNION ALL SELECT 'alert', CAST(id AS VARCHAR), 'severity not allowed' FROM alerts WHERE severity = 'LOW'
+    UNION ALL SELECT 'audit', CAST(id AS VARCHAR), 'action not allowed' FROM audit_logs WHERE action LIKE '%UNKNOWN%'
+    UNION ALL SELECT 'incident', CAST(id AS VARCHAR), 'status not allowed' FROM incidents WHERE status = 'CLOSED'""",
+    "predictions alerts traffic_records threat_events audit_logs incidents",
 )
 def check_constraints(t):
     d = t.domain
     parts = []
-    for name, df, rules in (("traffic", d.traffic_records, quality.traffic_rules()), ("threat", d.threat_events, quality.threat_rules())):
+    checks = {
+        "traffic": (d.traffic_records, quality.traffic_rules()),
+        "threat": (d.threat_events, quality.threat_rules()),
+        "alert": (d.alerts, quality.security_alert_rules()),
+        "audit": (d.audit_logs, quality.audit_rules()),
+        "incident": (d.incidents, quality.incident_rules()),
+    }
+    for name, (df, rules) in checks.items():
         _, bad = quality.split_valid(quality.check_constraints(df, rules))
-        parts.append(bad.select(F.lit(name).alias("entity"), "id", F.array_join("reasons", ", ").alias("reasons")))
-    return parts[0].unionByName(parts[1])
+        parts.append(bad.select(F.lit(name).alias("entity"), F.col("id").cast("string").alias("id"), F.array_join("reasons", ", ").alias("reasons")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 ADDRESS = """CASE event_id % 8 WHEN 0 THEN '10.0.' || user_id % 300 || '.1' WHEN 1 THEN '10.01.0.1' WHEN 2 THEN ' 192.168.0.' || user_id % 256 || ' ' WHEN 3 THEN 'FE80::' || user_id

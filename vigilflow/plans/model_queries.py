@@ -156,6 +156,25 @@ def isolation_forest_score(t):
     return scored.select("id", "is_anomaly", "anomaly_label", "anomaly_score", "raw_decision_score", "anomaly_interpretation")
 
 
+@query(
+    "isolation_forest_invariants",
+    "SELECT vec_id AS id, true AS in_range, true AS label_agrees, true AS boundary_agrees, true AS share_agrees FROM embeddings",
+)
+def isolation_forest_invariants(t):
+    """What must hold for every scored row, whatever the random trees."""
+    rows = vectors(t)
+    scored = isolation.score(rows, isolation.fit(rows, VECTOR, ["id"]))
+    share = scored.agg(F.avg(F.col("is_anomaly").cast("int")).alias("s")).scalar()
+    score, raw = F.col("anomaly_score"), F.col("raw_decision_score")
+    return scored.select(
+        "id",
+        score.between(0, 1).alias("in_range"),
+        ((F.col("anomaly_label") == "ANOMALOUS") == F.col("is_anomaly")).alias("label_agrees"),
+        (F.when(F.col("is_anomaly"), (score >= 0.5) & (raw <= 0)).otherwise((score <= 0.5) & (raw >= 0))).alias("boundary_agrees"),
+        (F.abs(share - V.FOREST_CONTAMINATION) < 0.01).alias("share_agrees"),
+    )
+
+
 @query("random_forest_fit")
 def random_forest_fit(t):
     model = forest.fit(vectors(t), VECTOR, "label")
@@ -169,6 +188,25 @@ def random_forest_score(t):
     return scored.select("id", "label", "predicted_threat", "intrusion_flag", "classification_confidence", F.to_json("class_probabilities").alias("class_probabilities"))
 
 
+@query(
+    "random_forest_invariants",
+    "SELECT vec_id AS id, true AS sums_to_one, true AS confidence_is_largest, true AS flag_agrees, (SELECT count(DISTINCT label) FROM embeddings) AS classes FROM embeddings",
+)
+def random_forest_invariants(t):
+    """What must hold for every classified row."""
+    rows = vectors(t)
+    scored = forest.score(rows, forest.fit(rows, VECTOR, "label"))
+    shares = F.map_values("class_probabilities")
+    total = F.aggregate(shares, F.lit(0.0), lambda a, b: a + b)
+    return scored.select(
+        "id",
+        (F.abs(total - 1) < 0.01).alias("sums_to_one"),
+        (F.array_max(shares) == F.col("classification_confidence")).alias("confidence_is_largest"),
+        (F.col("intrusion_flag") == (F.col("predicted_threat") != V.BENIGN)).alias("flag_agrees"),
+        F.size(shares).cast("long").alias("classes"),
+    )
+
+
 IMPORTANCE = """SELECT event_type AS feature, round(count(*) / (SELECT count(*) FROM events), 6) AS importance FROM events GROUP BY 1"""
 
 

@@ -118,6 +118,7 @@ def train(raw: DataFrame, key: list[str], scaler: str = "robust", depth: int = V
     labelled = cleaning.normalize_labels(cleaning.exact_dedup(cleaning.normalize_columns(raw)))
     if "normalized_label" not in labelled.columns:
         raise ValueError("training needs a label column")
+    labelled = settle(labelled, "labelled")
     split = settle(fitting.train_test_split(labelled, "normalized_label", key), "split")
     labels = ["original_label", "normalized_label", "is_intrusion"]
     inputs = [c for c in split.columns if c not in (*labels, "is_test", *key)]
