@@ -4,12 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilflow.llm import licenses, line_spread, secret_links, spaced_seeds, warc
+from vigilflow.llm import licenses, line_crf, line_spread, pu_toxicity, secret_links, simhash, spaced_seeds, warc
+from vigilflow.llm.common import label_split
 from vigilflow.llm.sql import ORACLES  # noqa: F401
 from vigilflow.session import scratch_path
 from vigilflow.sources.tables import read_table
 
 
+#: Scores from which a document counts as good, and as toxic.
+GOOD, TOXIC = 0.7, 0.5
+
+
+def _judged(scored: DataFrame, parts: int, held: int, least: float) -> DataFrame:
+    return scored.select(
+        "doc_id", label_split(F.col("doc_id"), parts, held).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted")
+    )
+
+
+def op1_line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    model = line_crf.fit(docs, read_table(spark, folder, "labels"), parts=4, held=2)
+    return _judged(line_crf.score(docs, model), 4, 2, GOOD)
+
+
 def op2_secret_links(spark: SparkSession, folder: str) -> DataFrame:
     return secret_links.digest(secret_links.scan(read_table(spark, folder, "documents")))
 
@@ -36,6 +53,17 @@ def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(document_paths(read_table(spark, folder, "documents")))
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, folder, "documents"), shingle=4, distance=4, seed=42)
+    return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
+
+
+def op6_pu_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    model = pu_toxicity.fit(docs, read_table(spark, folder, "labels"), parts=5, held=0)
+    return _judged(pu_toxicity.score(docs, model), 5, 0, TOXIC)
+
+
 def op8_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
     return spaced_seeds.overlaps(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
@@ -48,9 +76,12 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_crf": op1_line_crf,
     "op2_secret_links": op2_secret_links,
     "op3_line_spread": op3_line_spread,
     "op4_licenses": op4_licenses,
+    "op5_simhash": op5_simhash,
+    "op6_pu_toxicity": op6_pu_toxicity,
     "op8_spaced_seeds": op8_spaced_seeds,
     "op10_warc": op10_warc,
 }
