@@ -21,7 +21,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def texts_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *more: str) -> DataFrame:
+def texts_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *more: str | Column) -> DataFrame:
     """The id as ``doc_id`` (long), the text as ``text`` (null becomes empty) and the named columns, nothing else."""
     return docs.select(
         F.col(id_column).cast("long").alias("doc_id"),

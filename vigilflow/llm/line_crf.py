@@ -15,6 +15,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vigilflow.llm.common import label_split, small_batches, texts_of
@@ -294,3 +295,16 @@ def score(docs: DataFrame, model: LineCrf, id_column: str = "doc_id", text_colum
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": model.documents(frame["text"].tolist())})
 
     return texts_of(docs, id_column, text_column).mapInPandas(run, "doc_id long, score double")
+
+
+def keep_good(docs: DataFrame, model: LineCrf, least: float, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores at least ``least``; scored as ``score`` does."""
+    small_batches(docs.sparkSession)
+    place = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(model.documents(texts) >= least, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -53,18 +53,20 @@ def spread_lines(docs: DataFrame, min_sites: int, text_column: str = "text", sit
 
 def remove_spread_lines(
     docs: DataFrame, min_sites: int = 10, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source",
-    lg_k: int = LG_K, margin: float = MARGIN,
+    lg_k: int = LG_K, margin: float = MARGIN, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id, n_lines, n_removed, text`` for every row, the text without the lines on ``min_sites`` or more sites.
 
+    The columns named in ``carry`` come along in a struct column ``carried``, where no name can clash.
+
     Lines are equal if they are so without outer blanks; blank lines are kept.
     A null text is an empty one (one blank line).  A null site counts for no
     line, but lines of such rows are removed like others.  Repeated rows and rows
     without id are treated each for itself.  Texts of any length are read whole.
-    Columns other than the three named ones are not read.  No rows: no rows.
+    Other columns are not read.  No rows: no rows.
     """
     spread = spread_lines(docs, min_sites, text_column, site_column, lg_k, margin)
-    texts = texts_of(docs, id_column, text_column)
+    texts = texts_of(docs, id_column, text_column, *([F.struct(*carry).alias("carried")] if carry else []))
     # by the text's own hash, not by id: rows without or with a shared id are no matter, and a copied text is looked up once
     name = F.struct(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
     hits = (
@@ -73,7 +75,7 @@ def remove_spread_lines(
         .groupBy("t1", "t2").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
     )
     hits = settle(hits, "hits")  # a plain shuffle on both sides of the next join, whose hot texts Spark can then split
-    named = texts.withColumn("t", name).select("doc_id", "text", "t.t1", "t.t2").join(hits, ["t1", "t2"], "left")
+    named = texts.withColumn("t", name).select("*", "t.t1", "t.t2").join(hits, ["t1", "t2"], "left")
     lines = F.split("text", "\n")
     keep = F.filter(lines, lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("gone"), line_key(line)))
     kept = F.when(F.col("gone").isNull(), lines).otherwise(keep)
@@ -82,4 +84,5 @@ def remove_spread_lines(
         F.size(lines).alias("n_lines"),
         (F.size(lines) - F.size(kept)).alias("n_removed"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        *(["carried"] if carry else []),
     )

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilflow.llm import licenses, line_crf, line_spread, pu_toxicity, secret_links, simhash, spaced_seeds, warc
+from vigilflow.llm import licenses, line_crf, line_spread, piece_viterbi, pivot_index, pu_toxicity, secret_links, simhash, spaced_seeds, warc
 from vigilflow.llm.common import label_split
 from vigilflow.llm.sql import ORACLES  # noqa: F401
 from vigilflow.session import scratch_path
 from vigilflow.sources.tables import read_table
 
 
+#: The vocabulary file; on another machine give its path.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Scores from which a document counts as good, and as toxic.
 GOOD, TOXIC = 0.7, 0.5
 
@@ -64,10 +66,21 @@ def op6_pu_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(pu_toxicity.score(docs, model), 5, 0, TOXIC)
 
 
+def op7_pivot_index(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read_table(spark, folder, "embeddings")
+    return pivot_index.near_duplicates(vectors, pivot_index.fit(vectors), cosine=0.95)
+
+
 def op8_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
     return spaced_seeds.overlaps(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+def op9_piece_viterbi(spark: SparkSession, folder: str, model_path: str = MODEL) -> DataFrame:
+    pieces = piece_viterbi.load(model_path)
+    encoded = piece_viterbi.encode(read_table(spark, folder, "documents"), pieces)
+    return piece_viterbi.decode(encoded, pieces).select("doc_id", F.size("ids").alias("n_ids"), "ids", "text")
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = warc.write_archive(read_table(spark, folder, "pages"), scratch_path(spark, "archive"))
     return warc.read_archive(spark, path).select(
@@ -82,6 +95,8 @@ QUERIES = {
     "op4_licenses": op4_licenses,
     "op5_simhash": op5_simhash,
     "op6_pu_toxicity": op6_pu_toxicity,
+    "op7_pivot_index": op7_pivot_index,
     "op8_spaced_seeds": op8_spaced_seeds,
+    "op9_piece_viterbi": op9_piece_viterbi,
     "op10_warc": op10_warc,
 }
