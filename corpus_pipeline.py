@@ -51,7 +51,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents without a verified overlap with a benchmark item; those without id are judged together."""
     found = spaced_seeds.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
     leaks = lookup(settle(found.select(F.col("doc_id").alias("leak")), "leaks"))
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak")), "left_anti")
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak"]), "left_anti")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
