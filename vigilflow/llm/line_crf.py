@@ -187,10 +187,10 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def calibrate(model: LineCrf, own: np.ndarray, length: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> LineCrf:
-    """Sets slope and shift by logistic regression of document labels on the logit of the mean (Newton, both labels weighing the same)."""
+def calibrate(model: LineCrf, own: np.ndarray, length: np.ndarray, counts: np.ndarray, labels: np.ndarray, share: float = 0.5) -> LineCrf:
+    """Sets slope and shift by logistic regression of document labels on the logit of the mean (Newton); good ones weigh ``share``."""
     x = np.stack([_logit(model.means(own, length, counts)), np.ones(len(labels))], axis=1)
-    weight = np.where(labels == 1, 0.5 / max((labels == 1).sum(), 1), 0.5 / max((labels == 0).sum(), 1))
+    weight = np.where(labels == 1, share / max((labels == 1).sum(), 1), (1 - share) / max((labels == 0).sum(), 1))
     theta = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-(x @ theta)))
@@ -238,15 +238,15 @@ def fit_chains(own: np.ndarray, counts: np.ndarray, labels: np.ndarray, steps: i
     return LineCrf(mean.astype(np.float32), scale, theta[:-4], theta[-4:].reshape(2, 2))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, sample: int, id_column: str = "doc_id") -> DataFrame:
-    """``(doc_id, label)`` of at most ``sample`` rows of each label 0 and 1, none held out, the first by a hash of the id.
-
-    An id with several labels has the smallest.
-    """
+def known_labels(labels: DataFrame, label: str, parts: int, held: int) -> DataFrame:
+    """``(doc_id, label)`` of the ids labelled 0 or 1 that are not held out; of several labels of an id the smallest."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
-    known = known.filter(~label_split(F.col("doc_id"), parts, held)).groupBy("doc_id").agg(F.min("label").alias("label"))
-    order = [F.xxhash64("doc_id", F.lit(7)), F.col("doc_id")]
-    chosen = [known.filter(F.col("label") == v).orderBy(*order).limit(sample) for v in (0, 1)]
+    return known.filter(~label_split(F.col("doc_id"), parts, held)).groupBy("doc_id").agg(F.min("label").alias("label"))
+
+
+def training_sample(known: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` rows of each label, the first by a hash of the id."""
+    chosen = [known.filter(F.col("label") == v).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(sample) for v in (0, 1)]
     return chosen[0].unionByName(chosen[1])
 
 
@@ -258,8 +258,9 @@ def fit(
     With labels of one kind only, or none, the score is constant: that label, or 1.
     """
     small_batches(docs.sparkSession)
+    known = known_labels(labels, "quality", parts, held)
     # at most twice ``sample`` rows by construction, so they may go to every task
-    chosen = F.broadcast(training_sample(docs, labels, "quality", parts, held, sample))
+    chosen = F.broadcast(training_sample(known, sample))
     texts = texts_of(docs, id_column, text_column).join(chosen, "doc_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -278,7 +279,8 @@ def fit(
     counts, kind = got["n"].to_numpy(np.int64), got["label"].to_numpy()
     own = np.frombuffer(b"".join(got["own"]), np.float32).reshape(int(counts.sum()), -1)
     length = np.frombuffer(b"".join(got["length"]), np.int64)
-    return calibrate(fit_chains(own, counts, kind, steps), own, length, counts, kind)
+    share = known.agg(F.avg("label")).first()[0]
+    return calibrate(fit_chains(own, counts, kind, steps), own, length, counts, kind, share)
 
 
 def score(docs: DataFrame, model: LineCrf, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
