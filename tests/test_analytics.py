@@ -208,9 +208,9 @@ def test_keys_of_one_busy_instant(spark):
 
 def test_investigation(spark):
     p, a, _ = hunting(spark)
-    audit = spark.range(30).select("id", F.lit(T).cast("timestamp_ntz").alias("timestamp"), F.lit("SEEN").alias("action"), F.lit("OK").alias("outcome"),
+    audit = spark.range(30).select("id", F.lit(T).cast("timestamp_ntz").alias("timestamp"), F.lit("SEEN").alias("action"), F.lit("OK").alias("outcome"), F.lit("kim").alias("username"),
                                    F.lit("PREDICTION").alias("resource_type"), F.lit("1").alias("resource_id"))
     intel = spark.createDataFrame([("198.51.100.11", "MALICIOUS", 0.9, ["x"], "n")], "indicator string, reputation string, confidence double, categories array<string>, notes string")
     rows = {r.id: r for r in C.prediction_investigation(p, a, audit, intel).collect()}
-    assert len(rows) == 4 and len(rows[1].related_audit) == 10 and rows[1].related_audit[0].startswith("29:")
+    assert len(rows) == 4 and len(rows[1].related_audit) == 10 and rows[1].related_audit[0].id == 29
     assert (rows[1].alert_id, rows[1].reputation, rows[4].reputation, rows[4].found) == (1, "MALICIOUS", "UNKNOWN", False)

@@ -234,9 +234,9 @@ EVIDENCE_INVESTIGATION_TEXT = "Deep forensic investigation commenced."
 EVIDENCE_RESOLVED_TEXT = "Incident resolved. Remediation: %s"
 
 # --- Fixed values: intelligence miss, inheritance ----------------------------
-INTEL_SOURCE = "Local reputation table"
+INTEL_SOURCE = "LOCAL_DEMO_INTELLIGENCE"
 INTEL_UNKNOWN = "UNKNOWN"
-INTEL_MISS_NOTE = "No reputation record found."
+INTEL_MISS_NOTE = "No reputation record found in local demonstration threat intelligence base."
 DEFAULT_SEVERITY = "HIGH"
 DEFAULT_CATEGORY = "Suspicious Network Activity"
 

@@ -6,11 +6,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilflow import fixed_values as V
 from vigilflow.functions.expr import blank_as_null, iso, or_default
+from vigilflow.functions.network import canonical_ip
 from vigilflow.functions.skew import join_facts
+from vigilflow.functions.triage import risk_reasons
 from vigilflow.operators.paging import newest_per_group
 from vigilflow.session import settle
 
 
+#: Dates of an intelligence entry, as ISO text.
+SEEN = ("first_seen", "last_seen")
+
+
 def active(incidents: DataFrame) -> DataFrame:
     return incidents.filter(F.col("status").isin(V.ACTIVE_INCIDENT_STATUSES))
 
@@ -65,20 +71,26 @@ def detail_parts(
 
     def part(df: DataFrame, name: str, key: str, *columns: Column | str) -> DataFrame:
         return df.select(
-            "incident_id", F.lit(name).alias("part"), F.col(key).alias("item_id"), F.to_json(F.struct(*columns)).alias("item")
+            "incident_id", F.lit(name).alias("part"), F.col(key).alias("item_id"),
+            F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("item"),
         )
 
     items = (
         part(linked(incident_alerts, "alert_id", alerts), "alert", "alert_id",
-             "status", "severity", "threat_label", iso("created_at").alias("created_at"))
+             "status", "severity", "threat_label", "anomaly_score", "confidence", iso("created_at").alias("created_at"))
         .unionByName(part(linked(incident_predictions, "prediction_id", predictions), "prediction", "prediction_id",
-                          "predicted_threat", "risk_level", iso("timestamp").alias("timestamp")))
-        .unionByName(part(notes, "note", "id", "author", "note", iso("created_at").alias("created_at")))
+                          "predicted_threat", "risk_level", "anomaly_score", "classification_confidence", iso("timestamp").alias("timestamp")))
+        .unionByName(part(notes, "note", "id", "incident_id", "author", "note", iso("created_at").alias("created_at")))
     )
     existing = items.join(incidents.select(F.col("id").alias("incident_id")), "incident_id", "left_semi")
-    head = incidents.withColumn("incident_id", F.col("id"))
+    counts = {"alerts_count": incident_alerts, "predictions_count": incident_predictions, "notes_count": notes}
+    head = link_counts(incidents, counts).withColumn("incident_id", F.col("id"))
+    stamps = ("created_at", "updated_at", "acknowledged_at", "investigation_started_at", "resolved_at")
     return existing.unionByName(
-        part(head, "incident", "id", "incident_key", "title", "severity", "status", iso("created_at").alias("created_at"))
+        part(
+            head, "incident", "id", "incident_key", "title", "description", "severity", "status", "category", "source_ip", "assigned_to",
+            "created_by", *[iso(c).alias(c) for c in stamps], "resolution_summary", *counts,
+        )
     )
 
 
@@ -114,15 +126,19 @@ def asset_context(predictions: DataFrame, nodes: DataFrame) -> DataFrame:
 def intel_enrich(df: DataFrame, column: str, intel: DataFrame, normalise: bool = False) -> DataFrame:
     """Reputation per indicator; a miss gives UNKNOWN, 0.0 and an empty list.
 
-    ``normalise`` lower-cases and trims (domains and file hashes).
+    Addresses meet in their canonical text on both sides; what is no address finds
+    nothing.  ``normalise`` instead lower-cases and trims (domains and file
+    hashes).  Of several entries of an indicator the first by its text counts.
     """
-    key = F.lower(F.trim(F.col(column))) if normalise else F.trim(F.col(column))
-    entries = intel.select(
-        F.col("indicator").alias("_key"),
-        F.lit(True).alias("_hit"),
-        "reputation", "confidence", "categories", "notes",
+    canonical = (lambda c: F.lower(F.trim(c))) if normalise else canonical_ip
+    facts = [*[c for c in ("reputation", "confidence", "categories", "notes") if c in intel.columns], *SEEN]
+    known = intel.withColumns({c: F.lit(None).cast("string") for c in SEEN if c not in intel.columns})
+    entries = (
+        known.withColumn("_key", canonical(F.col("indicator"))).filter("_key IS NOT NULL")
+        .groupBy("_key").agg(F.min_by(F.struct(*facts), "indicator").alias("_e"))
+        .select("_key", F.lit(True).alias("_hit"), *[F.col(f"_e.{c}").alias(c if c not in SEEN else f"_{c}") for c in facts])
     )
-    joined = join_facts(df.withColumn("_key", key), entries, "_key")
+    joined = join_facts(df.withColumn("_key", canonical(F.col(column))), entries, "_key")
     return joined.select(
         *df.columns,
         F.coalesce("_hit", F.lit(False)).alias("found"),
@@ -130,6 +146,7 @@ def intel_enrich(df: DataFrame, column: str, intel: DataFrame, normalise: bool =
         F.coalesce("reputation", F.lit(V.INTEL_UNKNOWN)).alias("reputation"),
         F.coalesce("confidence", F.lit(0.0)).alias("intel_confidence"),
         F.coalesce("categories", F.array().cast("array<string>")).alias("intel_categories"),
+        *[F.col(f"_{c}").alias(f"intel_{c}") for c in SEEN],
         F.when(F.col("_hit"), F.col("notes")).otherwise(V.INTEL_MISS_NOTE).alias("intel_notes"),
     )
 
@@ -137,17 +154,16 @@ def intel_enrich(df: DataFrame, column: str, intel: DataFrame, normalise: bool =
 def prediction_investigation(
     predictions: DataFrame, alerts: DataFrame, audit: DataFrame, intel: DataFrame, newest: int = V.TOP_AUDIT_ROWS
 ) -> DataFrame:
-    """First alert, newest audit rows and reputation of every prediction."""
-    first_alert = alerts.groupBy("prediction_id").agg(
-        F.min_by(F.struct("id", "status", "severity", "alert_type"), "id").alias("a")
-    )
+    """Scores, reasons, telemetry, first alert, newest audit rows and reputation of every prediction."""
+    of_alert = ("status", "severity", "alert_type", "threat_label", "anomaly_score", "confidence", "recommended_action", "created_at", "acknowledged_at", "resolved_at")
+    first_alert = alerts.groupBy("prediction_id").agg(F.min_by(F.struct("id", *of_alert), "id").alias("a"))
     about = audit.filter(F.col("resource_type") == "PREDICTION")
     rows = newest_per_group(about, ["resource_id"], [F.desc("timestamp"), F.desc("id")], newest)
     # at most ``newest`` rows per list
     trail = rows.groupBy(F.col("resource_id").alias("_rid")).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("place", "id", "action", "outcome"))),
-            lambda r: F.concat_ws(":", r["id"], r["action"], r["outcome"]),
+            F.array_sort(F.collect_list(F.struct("place", "id", "action", "outcome", "username", "timestamp"))),
+            lambda r: F.struct(*[r[c].alias(c) for c in ("id", "action", "outcome", "username", "timestamp")]),
         ).alias("related_audit")
     )
     base = (
@@ -155,11 +171,16 @@ def prediction_investigation(
         .join(first_alert.withColumnRenamed("prediction_id", "id"), "id", "left")
         .join(trail, "_rid", "left")
     )
+    telemetry = (
+        "destination_ip", "source_port", "destination_port", "protocol", "flow_duration", "total_forward_packets", "total_backward_packets", "total_bytes"
+    )
+    raw = F.col("raw_flow_data")
+    is_object = F.coalesce(F.from_json(raw, "map<string, string>").isNotNull() & F.trim(raw).startswith("{"), F.lit(False))
     picked = base.select(
-        "id", "timestamp", "predicted_threat", "risk_level", "source_ip",
-        F.col("a.id").alias("alert_id"), F.col("a.status").alias("alert_status"),
-        F.col("a.severity").alias("alert_severity"),
-        F.coalesce("related_audit", F.array().cast("array<string>")).alias("related_audit"),
+        "id", "timestamp", "predicted_threat", "risk_level", "anomaly_score", "classification_confidence", "intrusion_flag", "source_ip", *telemetry,
+        F.when(is_object, raw).alias("raw_features"), risk_reasons().alias("risk_reasons"),
+        F.col("a.id").alias("alert_id"), *[F.col(f"a.{c}").alias(c if c.startswith("alert") else f"alert_{c}") for c in of_alert],
+        F.coalesce("related_audit", F.array().cast("array<struct<id:bigint,action:string,outcome:string,username:string,timestamp:timestamp_ntz>>")).alias("related_audit"),
     )
     return intel_enrich(picked, "source_ip", intel)
 

@@ -10,7 +10,7 @@ from vigilflow import fixed_values as V
 from vigilflow.functions.expr import all_of, any_of, count_if, is_threat, or_default
 from vigilflow.functions.timerange import TimeRange
 from vigilflow.operators.analytics import known_source, one_row
-from vigilflow.operators.paging import clamp, like_pattern, newest_per_group, page
+from vigilflow.operators.paging import like_pattern, newest_per_group, page
 
 
 @dataclass(frozen=True)
@@ -136,19 +136,19 @@ def incident_items(df: DataFrame) -> DataFrame:
     )
 
 
-def hunt_predictions(df, f: HuntFilters, window: TimeRange, limit: int = 50, offset: int = 0) -> DataFrame:
+def hunt_predictions(df, f: HuntFilters, window: TimeRange, limit: int | None = 50, offset: int = 0) -> DataFrame:
     found = match_predictions(df, f, window)
-    return prediction_items(page(found, "timestamp", clamp(limit, V.MAX_HUNT_ROWS), offset))
+    return prediction_items(page(found, "timestamp", limit, offset))
 
 
-def hunt_alerts(df, f: HuntFilters, window: TimeRange, limit: int = 50, offset: int = 0) -> DataFrame:
+def hunt_alerts(df, f: HuntFilters, window: TimeRange, limit: int | None = 50, offset: int = 0) -> DataFrame:
     found = match_alerts(df, f, window)
-    return alert_items(page(found, "timestamp", clamp(limit, V.MAX_HUNT_ROWS), offset))
+    return alert_items(page(found, "timestamp", limit, offset))
 
 
-def hunt_incidents(df, f: HuntFilters, window: TimeRange, limit: int = 50, offset: int = 0) -> DataFrame:
+def hunt_incidents(df, f: HuntFilters, window: TimeRange, limit: int | None = 50, offset: int = 0) -> DataFrame:
     found = match_incidents(df, f, window)
-    return incident_items(page(found, "created_at", clamp(limit, V.MAX_HUNT_ROWS), offset))
+    return incident_items(page(found, "created_at", limit, offset))
 
 
 def query_counts(predictions, alerts, incidents, f: HuntFilters, window: TimeRange) -> DataFrame:
@@ -404,6 +404,9 @@ def source_timeline(predictions: DataFrame, alerts: DataFrame, incidents: DataFr
 
 # --- history ------------------------------------------------------------------
 
+#: What a search can be given: its terms, its time range, its page.
+HISTORY_FILTERS = (*HuntFilters.__dataclass_fields__, "time_range", "start_datetime", "end_datetime", "limit", "offset")
+
 
 def history_entries(searches: DataFrame) -> DataFrame:
     """Summary line and filter JSON of remembered searches."""
@@ -428,9 +431,8 @@ def history_entries(searches: DataFrame) -> DataFrame:
         part("q:'", "query_text", "'"),
         label,
     )
-    filters = F.to_json(
-        F.struct("source_ip", "threat_category", "severity", "destination_port", "query_text", "time_range")
-    )
+    # every filter that was set; NULL ones are left out, so a search can be repeated as it was
+    filters = F.to_json(F.struct(*[c for c in HISTORY_FILTERS if c in searches.columns]))
     return searches.select(
         "id", "timestamp", "username",
         F.substring(summary, 1, V.HISTORY_SUMMARY_CHARS).alias("filter_summary"),
@@ -444,12 +446,12 @@ def history_trim(history: DataFrame, keep: int = V.MAX_HISTORY_ROWS) -> DataFram
     return newest_per_group(history, ["username"], order, keep).drop("place")
 
 
-def history_list(history: DataFrame, username: str, limit: int = 20) -> DataFrame:
+def history_list(history: DataFrame, username: str, limit: int | None = 20) -> DataFrame:
     """Newest searches of one user; unreadable filter JSON becomes an empty map."""
     mine = history.filter(F.col("username") == username)
     filters = F.coalesce(
         F.from_json("filters_json", "map<string,string>"), F.create_map().cast("map<string,string>")
     )
-    return page(mine, "timestamp", clamp(limit, V.MAX_HISTORY_ROWS)).select(
+    return page(mine, "timestamp", limit).select(
         "id", "timestamp", "username", "filter_summary", filters.alias("filters"), "result_count"
     )

@@ -8,17 +8,16 @@ from vigilflow import fixed_values as V
 from vigilflow.functions.expr import all_of, severity_rank
 
 
-def clamp(limit: int, most: int) -> int:
-    return min(max(1, limit), most)
-
-
 def newest_first(ts: str, key: str = "id") -> list[Column]:
     return [F.desc(ts), F.desc(key)]
 
 
-def page(df: DataFrame, ts: str, limit: int, offset: int = 0, key: str = "id") -> DataFrame:
-    """Rows ``offset .. offset+limit`` newest first (a distributed top-k)."""
-    return df.orderBy(*newest_first(ts, key)).offset(max(0, offset)).limit(limit)
+def page(df: DataFrame, ts: str, limit: int | None, offset: int = 0, key: str = "id") -> DataFrame:
+    """Rows ``offset .. offset+limit`` newest first (a distributed top-k); all of them without ``limit``."""
+    if limit is not None and limit < 1:
+        raise ValueError("a limit is at least 1")
+    ordered = df.orderBy(*newest_first(ts, key)).offset(max(0, offset))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def page_after(df: DataFrame, ts: str, limit: int, cursor: tuple | None, key: str = "id") -> DataFrame:

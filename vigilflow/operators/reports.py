@@ -10,7 +10,7 @@ from vigilflow.functions.timerange import TimeRange
 from vigilflow.operators.analytics import one_row
 from vigilflow.operators.cases import link_counts
 from vigilflow.operators.hunting import alert_items, incident_items, prediction_items, top_values
-from vigilflow.operators.paging import clamp, like_pattern, page
+from vigilflow.operators.paging import like_pattern, page
 
 
 def in_report(df: DataFrame, window: TimeRange, at: str, severity: tuple[str, str | None], category: tuple[str, str | None]) -> DataFrame:
@@ -107,21 +107,21 @@ def important_findings(summary: DataFrame, threats: DataFrame, sources: DataFram
 # --- snapshots --------------------------------------------------------------------
 
 
-def snapshot(df: DataFrame, at: str, limit: int) -> DataFrame:
-    return page(df, at, clamp(limit, V.MAX_REPORT_ROWS))
+def snapshot(df: DataFrame, at: str, limit: int | None) -> DataFrame:
+    return page(df, at, limit)
 
 
-def prediction_snapshot(df: DataFrame, limit: int = 500) -> DataFrame:
+def prediction_snapshot(df: DataFrame, limit: int | None = 500) -> DataFrame:
     columns = ["id", "predicted_threat", "risk_level", "anomaly_score", "classification_confidence", "source_ip", "destination_ip", "timestamp"]
     return prediction_items(snapshot(df, "timestamp", limit)).select(*columns)
 
 
-def alert_snapshot(df: DataFrame, limit: int = 500) -> DataFrame:
+def alert_snapshot(df: DataFrame, limit: int | None = 500) -> DataFrame:
     rows = snapshot(df, "timestamp", limit)
     return alert_items(rows).join(rows.select("id", "acknowledged_at", "resolved_at"), "id")
 
 
-def incident_snapshot(df: DataFrame, incident_alerts: DataFrame, incident_predictions: DataFrame, limit: int = 500) -> DataFrame:
+def incident_snapshot(df: DataFrame, incident_alerts: DataFrame, incident_predictions: DataFrame, limit: int | None = 500) -> DataFrame:
     """Newest cases with their link counts; only links of those cases are counted."""
     rows = snapshot(df, "created_at", limit)
     ids = rows.select(F.col("id").alias("incident_id"))
@@ -132,7 +132,7 @@ def incident_snapshot(df: DataFrame, incident_alerts: DataFrame, incident_predic
     return link_counts(rows, links)
 
 
-def incident_report_items(df, incident_alerts, incident_predictions, limit: int = 500) -> DataFrame:
+def incident_report_items(df, incident_alerts, incident_predictions, limit: int | None = 500) -> DataFrame:
     counted = incident_snapshot(df, incident_alerts, incident_predictions, limit)
     return counted.select(*incident_items(counted).columns, "resolved_at", "resolution_summary", "alerts_count", "predictions_count")
 
@@ -157,7 +157,7 @@ def _score(c: str) -> Column:
     return F.round(F.coalesce(c, F.lit(0.0)), 4)
 
 
-def predictions_export(df: DataFrame, limit: int = 1000) -> DataFrame:
+def predictions_export(df: DataFrame, limit: int | None = V.MAX_REPORT_ROWS) -> DataFrame:
     flag = F.when(F.col("intrusion_flag"), "True").when(~F.col("intrusion_flag"), "False").otherwise("")
     return snapshot(df, "timestamp", limit).select(
         F.col("id").alias("Prediction_ID"),
@@ -175,7 +175,7 @@ def predictions_export(df: DataFrame, limit: int = 1000) -> DataFrame:
     )
 
 
-def alerts_export(df: DataFrame, limit: int = 1000) -> DataFrame:
+def alerts_export(df: DataFrame, limit: int | None = V.MAX_REPORT_ROWS) -> DataFrame:
     return snapshot(df, "timestamp", limit).select(
         F.col("id").alias("Alert_ID"),
         _number_text("prediction_id").alias("Prediction_ID"),
@@ -192,7 +192,7 @@ def alerts_export(df: DataFrame, limit: int = 1000) -> DataFrame:
     )
 
 
-def incidents_export(df: DataFrame, incident_alerts: DataFrame, incident_predictions: DataFrame, limit: int = 1000) -> DataFrame:
+def incidents_export(df: DataFrame, incident_alerts: DataFrame, incident_predictions: DataFrame, limit: int | None = V.MAX_REPORT_ROWS) -> DataFrame:
     return incident_snapshot(df, incident_alerts, incident_predictions, limit).select(
         F.col("id").alias("Incident_ID"),
         F.col("incident_key").alias("Incident_Key"),
@@ -213,7 +213,7 @@ def incidents_export(df: DataFrame, incident_alerts: DataFrame, incident_predict
     )
 
 
-def audit_export(df: DataFrame, limit: int = 1000) -> DataFrame:
+def audit_export(df: DataFrame, limit: int | None = V.MAX_REPORT_ROWS) -> DataFrame:
     """The details column is left out on purpose."""
     return snapshot(df, "timestamp", limit).select(
         F.col("id").alias("Audit_ID"),
@@ -234,4 +234,4 @@ def audit_export(df: DataFrame, limit: int = 1000) -> DataFrame:
 def json_export(dataset: str, items: DataFrame) -> DataFrame:
     """Items of one dataset as (dataset, item JSON) rows."""
     columns = [iso(c).alias(c) if t.startswith("timestamp") else F.col(c) for c, t in items.dtypes]
-    return items.select(F.lit(dataset).alias("dataset"), F.col("id"), F.to_json(F.struct(*columns)).alias("item"))
+    return items.select(F.lit(dataset).alias("dataset"), F.col("id"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("item"))

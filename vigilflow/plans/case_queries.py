@@ -7,10 +7,12 @@ import re
 from pyspark.sql import functions as F
 
 from vigilflow import fixed_values as V
+from vigilflow.functions.expr import iso as spark_iso
 from vigilflow.operators import cases as C, lifecycle as L
 from vigilflow.plans.hunting_queries import texts
 from vigilflow.plans.registry import query
-from vigilflow.plans.views_sql import iso, text_list
+from vigilflow.plans.report_queries import items_apart, scores_apart
+from vigilflow.plans.views_sql import REASONS_SQL, iso, text_list
 
 ACTIVE = f"status IN ({text_list(V.ACTIVE_INCIDENT_STATUSES)})"
 TAKEN = f"""SELECT alert_id, incident_id, incident_key, status FROM incident_alerts JOIN incidents ON incidents.id = incident_id WHERE {ACTIVE}"""
@@ -51,19 +53,25 @@ ALL_CASE = "predictions alerts incidents incident_alerts incident_predictions in
 
 @query(
     "incident_detail",
-    f"""SELECT id AS incident_id, 'incident' AS part, id AS item_id, CAST(to_json({{'incident_key': incident_key, 'title': title, 'severity': severity, 'status': status,
-        'created_at': {iso('created_at')}}}) AS VARCHAR) AS item FROM incidents
-    UNION ALL SELECT incident_id, 'alert', alert_id, CAST(to_json({{'status': status, 'severity': severity, 'threat_label': threat_label, 'created_at': {iso('created_at')}}}) AS VARCHAR)
+    f"""SELECT incident_id, part, item_id, {items_apart('item')} FROM (SELECT id AS incident_id, 'incident' AS part, id AS item_id, CAST(to_json({{'incident_key': incident_key, 'title': title, 'description': description, 'severity': severity,
+        'status': status, 'category': category, 'source_ip': source_ip, 'assigned_to': assigned_to, 'created_by': created_by, 'created_at': {iso('created_at')},
+        'updated_at': {iso('updated_at')}, 'acknowledged_at': {iso('acknowledged_at')}, 'investigation_started_at': {iso('investigation_started_at')},
+        'resolved_at': {iso('resolved_at')}, 'resolution_summary': resolution_summary,
+        'alerts_count': (SELECT count(*) FROM incident_alerts x WHERE x.incident_id = incidents.id),
+        'predictions_count': (SELECT count(*) FROM incident_predictions x WHERE x.incident_id = incidents.id),
+        'notes_count': (SELECT count(*) FROM incident_notes x WHERE x.incident_id = incidents.id)}}) AS VARCHAR) AS item FROM incidents
+    UNION ALL SELECT incident_id, 'alert', alert_id, CAST(to_json({{'status': status, 'severity': severity, 'threat_label': threat_label, 'anomaly_score': anomaly_score, 'confidence': confidence, 'created_at': {iso('created_at')}}}) AS VARCHAR)
       FROM incident_alerts JOIN alerts ON alerts.id = alert_id WHERE incident_id IN (SELECT id FROM incidents)
-    UNION ALL SELECT incident_id, 'prediction', prediction_id, CAST(to_json({{'predicted_threat': predicted_threat, 'risk_level': risk_level, 'timestamp': {iso('timestamp')}}}) AS VARCHAR)
+    UNION ALL SELECT incident_id, 'prediction', prediction_id, CAST(to_json({{'predicted_threat': predicted_threat, 'risk_level': risk_level, 'anomaly_score': anomaly_score, 'classification_confidence': classification_confidence, 'timestamp': {iso('timestamp')}}}) AS VARCHAR)
       FROM incident_predictions JOIN predictions ON predictions.id = prediction_id WHERE incident_id IN (SELECT id FROM incidents)
-    UNION ALL SELECT incident_id, 'note', id, CAST(to_json({{'author': author, 'note': note, 'created_at': {iso('created_at')}}}) AS VARCHAR)
-      FROM incident_notes WHERE incident_id IN (SELECT id FROM incidents)""",
+    UNION ALL SELECT incident_id, 'note', id, CAST(to_json({{'incident_id': incident_id, 'author': author, 'note': note, 'created_at': {iso('created_at')}}}) AS VARCHAR)
+      FROM incident_notes WHERE incident_id IN (SELECT id FROM incidents))""",
     ALL_CASE,
 )
 def incident_detail(t):
     d = t.domain
-    return C.detail_parts(d.incidents, d.alerts, d.predictions, d.incident_notes, d.incident_alerts, d.incident_predictions)
+    parts = C.detail_parts(d.incidents, d.alerts, d.predictions, d.incident_notes, d.incident_alerts, d.incident_predictions)
+    return scores_apart(parts)
 
 
 @query(
@@ -117,9 +125,10 @@ def orphan_check(t):
     return C.orphans(t.domain.incident_alerts, "alert_id", t.domain.alerts).select("incident_id", "alert_id")
 
 
-INTEL_COLUMNS = f"""{{}} IS NOT NULL AS found, '{V.INTEL_SOURCE}' AS intel_source, coalesce(i.reputation, 'UNKNOWN') AS reputation,
+INTEL_COLUMNS = f"""{{}} IS NOT NULL AS found, 'LOCAL_DEMO_INTELLIGENCE' AS intel_source, coalesce(i.reputation, 'UNKNOWN') AS reputation,
       coalesce(i.confidence, 0.0::DOUBLE) AS intel_confidence, coalesce(i.categories, '') AS intel_categories,
-      CASE WHEN {{}} IS NOT NULL THEN i.notes ELSE '{V.INTEL_MISS_NOTE}' END AS intel_notes"""
+      CASE WHEN {{}} IS NOT NULL THEN i.notes ELSE 'No reputation record found in local demonstration threat intelligence base.' END AS intel_notes,
+      i.first_seen AS intel_first_seen, i.last_seen AS intel_last_seen"""
 
 
 def flat(df):
@@ -128,12 +137,22 @@ def flat(df):
 
 @query(
     "intel_enrich",
-    f"SELECT p.id, p.source_ip, {INTEL_COLUMNS.format('i.indicator', 'i.indicator')} FROM predictions p LEFT JOIN threat_intel i ON trim(p.source_ip) = i.indicator",
+    f"""SELECT p.id, p.source_ip, {INTEL_COLUMNS.format('i.indicator', 'i.indicator')}
+    FROM (SELECT id, CASE id % 5 WHEN 0 THEN '2001:0DB8:0:0:0:0:0:' || upper(to_hex(id % 50 + 1)) WHEN 1 THEN source_ip || '.9' ELSE ' ' || source_ip END AS source_ip,
+      CASE id % 5 WHEN 0 THEN '2001:db8::' || lower(to_hex(id % 50 + 1)) WHEN 1 THEN NULL ELSE source_ip END AS address FROM predictions) p LEFT JOIN i ON address = i.indicator""",
     "predictions threat_intel",
+    i="SELECT * FROM threat_intel UNION ALL SELECT * REPLACE ('2001:db8::' || lower(to_hex(CAST(split_part(notes, '#', 2) AS BIGINT))) AS indicator) FROM threat_intel",
 )
 def intel_enrich(t):
-    rows = t.domain.predictions.select("id", "source_ip")
-    return flat(C.intel_enrich(rows, "source_ip", t.domain.threat_intel))
+    """Addresses with blanks, in long form, and what is no address; entries in upper case and short form."""
+    address = (
+        F.when(F.col("id") % 5 == 0, F.concat(F.lit("2001:0DB8:0:0:0:0:0:"), F.hex(F.col("id") % 50 + 1)))
+        .when(F.col("id") % 5 == 1, F.concat("source_ip", F.lit(".9"))).otherwise(F.concat(F.lit(" "), "source_ip"))
+    )
+    known = t.domain.threat_intel
+    short = known.withColumn("indicator", F.concat(F.lit("2001:DB8::"), F.hex(F.split("notes", "#")[1].cast("long"))))
+    rows = t.domain.predictions.select("id", address.alias("source_ip"))
+    return flat(C.intel_enrich(rows, "source_ip", known.unionByName(short)))
 
 
 HOST = r"regexp_extract(url, '^https?://([^/:?#]+)', 1)"
@@ -148,7 +167,7 @@ def host():
     f"""SELECT page_id, domain, {INTEL_COLUMNS.format('i.indicator', 'i.indicator')}
     FROM (SELECT page_id, ' ' || upper({HOST}) AS domain FROM pages) p LEFT JOIN i ON lower(trim(p.domain)) = i.indicator""",
     i=f"""SELECT {HOST} AS indicator, CASE WHEN min(page_id) % 2 = 0 THEN 'MALICIOUS' ELSE 'SUSPICIOUS' END AS reputation,
-      0.5::DOUBLE AS confidence, 'domain' AS categories, 'Seen on pages' AS notes FROM pages WHERE {HOST} LIKE 'm.%' GROUP BY 1""",
+      0.5::DOUBLE AS confidence, 'domain' AS categories, 'Seen on pages' AS notes, NULL::VARCHAR AS first_seen, NULL::VARCHAR AS last_seen FROM pages WHERE {HOST} LIKE 'm.%' GROUP BY 1""",
 )
 def intel_domain(t):
     listed = (
@@ -165,7 +184,7 @@ def intel_domain(t):
     "intel_hash",
     f"""SELECT doc_id, file_hash, {INTEL_COLUMNS.format('i.indicator', 'i.indicator')}
     FROM (SELECT doc_id, upper(sha256(text)) AS file_hash FROM documents) d LEFT JOIN i ON lower(trim(d.file_hash)) = i.indicator""",
-    i="""SELECT sha256(text) AS indicator, 'MALICIOUS' AS reputation, 0.9::DOUBLE AS confidence, 'payload' AS categories, 'Listed ' || min(d.doc_id) AS notes
+    i="""SELECT sha256(text) AS indicator, 'MALICIOUS' AS reputation, 0.9::DOUBLE AS confidence, 'payload' AS categories, 'Listed ' || min(d.doc_id) AS notes, NULL::VARCHAR AS first_seen, NULL::VARCHAR AS last_seen
       FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE toxic = 1 GROUP BY 1""",
 )
 def intel_hash(t):
@@ -181,20 +200,29 @@ def intel_hash(t):
 
 @query(
     "prediction_investigation",
-    f"""SELECT p.id, {iso('p.timestamp')} AS timestamp, p.predicted_threat, p.risk_level, p.source_ip, a.id AS alert_id, a.status AS alert_status,
-      a.severity AS alert_severity, coalesce(t.related_audit, '') AS related_audit, {INTEL_COLUMNS.format('i.indicator', 'i.indicator')}
+    f"""SELECT p.id, {iso('p.timestamp')} AS timestamp, p.predicted_threat, p.risk_level, p.anomaly_score, p.classification_confidence, p.intrusion_flag, p.source_ip,
+      p.destination_ip, p.source_port, p.destination_port, p.protocol, p.flow_duration, p.total_forward_packets, p.total_backward_packets, p.total_bytes,
+      CASE WHEN json_type(p.raw_flow_data) = 'OBJECT' THEN p.raw_flow_data END AS raw_features, r.reasons AS risk_reasons,
+      a.id AS alert_id, a.status AS alert_status, a.severity AS alert_severity, a.alert_type, a.threat_label AS alert_threat_label, a.anomaly_score AS alert_anomaly_score,
+      a.confidence AS alert_confidence, a.recommended_action AS alert_recommended_action, {iso('a.created_at')} AS alert_created_at,
+      {iso('a.acknowledged_at')} AS alert_acknowledged_at, {iso('a.resolved_at')} AS alert_resolved_at, coalesce(t.related_audit, '') AS related_audit, {INTEL_COLUMNS.format('i.indicator', 'i.indicator')}
     FROM predictions p
     LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prediction_id ORDER BY id) AS rn FROM alerts) WHERE rn = 1) a ON a.prediction_id = p.id
-    LEFT JOIN (SELECT resource_id, string_agg(id || ':' || action || ':' || outcome, ';' ORDER BY rn) AS related_audit FROM (
+    LEFT JOIN (SELECT resource_id, string_agg(id || ':' || action || ':' || outcome || ':' || username || ':' || {iso('timestamp')}, ';' ORDER BY rn) AS related_audit FROM (
         SELECT *, row_number() OVER (PARTITION BY resource_id ORDER BY timestamp DESC, id DESC) AS rn FROM audit_logs WHERE resource_type = 'PREDICTION')
       WHERE rn <= 10 GROUP BY 1) t ON t.resource_id = CAST(p.id AS VARCHAR)
+    JOIN r ON r.id = p.id
     LEFT JOIN threat_intel i ON trim(p.source_ip) = i.indicator""",
     "predictions alerts audit_logs threat_intel",
+    r=REASONS_SQL,
 )
 def prediction_investigation(t):
     d = t.domain
     rows = C.prediction_investigation(d.predictions, d.alerts, d.audit_logs, d.threat_intel)
-    return flat(texts(rows, "timestamp").withColumn("related_audit", F.array_join("related_audit", ";")))
+    line = lambda r: F.concat_ws(":", r["id"], r["action"], r["outcome"], r["username"], spark_iso(r["timestamp"]))
+    stamps = ["timestamp", "alert_created_at", "alert_acknowledged_at", "alert_resolved_at"]
+    rows = rows.withColumn("related_audit", F.array_join(F.transform("related_audit", line), ";"))
+    return flat(texts(rows.withColumn("risk_reasons", F.array_join("risk_reasons", " | ")), *stamps))
 
 
 # --- requests drawn from the event stream ------------------------------------------

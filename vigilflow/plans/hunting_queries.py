@@ -56,7 +56,7 @@ ITEM = f"""id, {iso('timestamp')} AS timestamp, source_ip, destination_ip, sourc
 
 @query(
     "hunt_predictions",
-    f"SELECT {ITEM} FROM predictions WHERE {HUNT_SQL} ORDER BY predictions.timestamp DESC, id DESC LIMIT 200",
+    f"SELECT {ITEM} FROM predictions WHERE {HUNT_SQL} ORDER BY predictions.timestamp DESC, id DESC LIMIT 500",
     "predictions",
 )
 def hunt_predictions(t):
@@ -82,11 +82,11 @@ ALERT_SQL = f"""{IN_MONTH.format('timestamp')} AND lower(threat_label) LIKE '%do
 @query(
     "hunt_alerts",
     f"""SELECT id, {iso('timestamp')} AS timestamp, prediction_id, severity, status, alert_type, threat_label, round(confidence, 4) AS confidence,
-      source_ip, destination_ip FROM alerts WHERE {ALERT_SQL} ORDER BY alerts.timestamp DESC, id DESC LIMIT 200""",
+      source_ip, destination_ip FROM alerts WHERE {ALERT_SQL}""",
     "alerts",
 )
 def hunt_alerts(t):
-    return texts(H.hunt_alerts(t.domain.alerts, ALERT_HUNT, MONTH, 200), "timestamp")
+    return texts(H.hunt_alerts(t.domain.alerts, ALERT_HUNT, MONTH, None), "timestamp")
 
 
 CASE_HUNT = H.HuntFilters(threat_category="attack", severity="CRITICAL", incident_status="open", query_text="case web")
@@ -97,16 +97,16 @@ CASE_SQL = f"""{IN_MONTH.format('created_at')} AND lower(category) LIKE '%attack
 @query(
     "hunt_incidents",
     f"""SELECT id, incident_key, title, severity, status, category, source_ip, assigned_to, {iso('created_at')} AS created_at, {iso('updated_at')} AS updated_at
-    FROM incidents WHERE {CASE_SQL} ORDER BY incidents.created_at DESC, id DESC LIMIT 200""",
+    FROM incidents WHERE {CASE_SQL}""",
     "incidents",
 )
 def hunt_incidents(t):
-    return texts(H.hunt_incidents(t.domain.incidents, CASE_HUNT, MONTH, 200), "created_at", "updated_at")
+    return texts(H.hunt_incidents(t.domain.incidents, CASE_HUNT, MONTH, None), "created_at", "updated_at")
 
 
 @query(
     "hunt_page",
-    f"SELECT {ITEM} FROM predictions WHERE {IN_MONTH.format('timestamp')} ORDER BY predictions.timestamp DESC, id DESC LIMIT 200 OFFSET 400",
+    f"SELECT {ITEM} FROM predictions WHERE {IN_MONTH.format('timestamp')} ORDER BY predictions.timestamp DESC, id DESC LIMIT 1000 OFFSET 400",
     "predictions",
 )
 def hunt_page(t):
@@ -330,8 +330,9 @@ def source_timeline_one(t):
 
 HISTORY = """SELECT id, timestamp, username, left(concat_ws(', ', 'src:' || source_ip, 'threat:' || threat_category, 'sev:' || severity,
       'port:' || destination_port, 'q:''' || query_text || '''', 'Last 24 Hours'), 250) AS filter_summary,
-    '{' || concat_ws(',', '"source_ip":"' || source_ip || '"', '"threat_category":"' || threat_category || '"', '"severity":"' || severity || '"',
-      '"destination_port":' || destination_port, '"query_text":"' || query_text || '"', '"time_range":"24h"') || '}' AS filters_json,
+    '{' || concat_ws(',', '"source_ip":"' || source_ip || '"', '"destination_port":' || destination_port, '"protocol":"' || protocol || '"',
+      '"threat_category":"' || threat_category || '"', '"severity":"' || severity || '"', '"min_confidence":' || min_confidence,
+      '"query_text":"' || query_text || '"', '"alert_status":"' || alert_status || '"', '"time_range":"24h"', '"limit":50', '"offset":0') || '}' AS filters_json,
     result_count FROM hunt_history"""
 
 
@@ -412,7 +413,7 @@ def audit_filter(t):
     "predictions",
 )
 def predictions_page(t):
-    rows = P.page(t.domain.predictions, "created_at", P.clamp(100, V.MAX_PAGE_ROWS), 200)
+    rows = P.page(t.domain.predictions, "created_at", V.MAX_PAGE_ROWS, 200)
     return texts(rows.select("id", "created_at", "risk_level"), "created_at")
 
 

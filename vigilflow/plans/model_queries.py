@@ -9,7 +9,7 @@ from vigilflow.operators import evaluation as E, forest, isolation, scoring
 from vigilflow.plans import training
 from vigilflow.plans.hunting_queries import texts
 from vigilflow.plans.registry import query
-from vigilflow.plans.views_sql import fixed, iso
+from vigilflow.plans.views_sql import REASONS_SQL, fixed, iso
 from vigilflow.session import scratch_path
 
 # --- triage --------------------------------------------------------------------------
@@ -38,22 +38,11 @@ def alert_escalation(t):
     return texts(scoring.alert_escalation(t.domain.predictions), "timestamp")
 
 
-ATTACK = "lower(predicted_threat) <> 'benign'"
 
 
 @query(
     "risk_reasons",
-    f"""SELECT id, array_to_string(list_filter([
-      CASE WHEN anomaly_score >= 0.70 THEN 'Severe anomaly divergence (score: ' || {fixed('anomaly_score', 3)} || ') detected by Isolation Forest'
-        WHEN anomaly_score >= 0.50 THEN 'Elevated statistical outlier score (' || {fixed('anomaly_score', 3)} || ') above nominal traffic baseline' END,
-      CASE WHEN {ATTACK} THEN 'Supervised Random Forest classified flow signature as ''' || predicted_threat || ''' attack vector' END,
-      CASE WHEN {ATTACK} AND classification_confidence >= 0.85 THEN 'High classifier confidence (' || {fixed('classification_confidence * 100', 1)} || '%) supporting threat designation'
-        WHEN {ATTACK} AND classification_confidence < 0.50 THEN 'Moderate classifier confidence (' || {fixed('classification_confidence * 100', 1)} || '%); recommends secondary validation' END,
-      CASE WHEN destination_port IN (21, 22, 23, 3389) THEN 'Target involves administrative remote access service (port ' || destination_port || ')'
-        WHEN destination_port IN (80, 443, 8080, 8443) THEN 'Target involves public web application service (port ' || destination_port || ')'
-        WHEN destination_port = 53 THEN 'Target involves core DNS resolution infrastructure (port 53)' END,
-      CASE WHEN risk_level IN ('CRITICAL', 'HIGH') THEN 'Composite risk assessment assigned ' || risk_level || ' priority based on combined anomaly and threat scores' END,
-      CASE WHEN NOT intrusion_flag AND NOT ({ATTACK}) THEN 'Flow telemetry metrics conform to expected baseline benign traffic patterns' END], lambda x: x IS NOT NULL), ' | ') AS reasons FROM predictions""",
+    REASONS_SQL,
     "predictions",
 )
 def risk_reasons(t):
@@ -231,12 +220,13 @@ def cumulative_importance(t):
 
 
 def flow_rows(t):
-    return t.domain.flows.drop("captured_at").dropDuplicates(["flow_id"])
+    """The flows; the day of capture is left to the reports."""
+    return t.domain.flows.drop("captured_at")
 
 
 @query("unified_predict")
 def unified_predict(t):
-    models = training.train(flow_rows(t), ["flow_id"], depth=8)
+    models = training.train(flow_rows(t), ["flow_id"])
     scored = scoring.unified_predict(t.domain.flows, models.params, models.anomaly, models.threat, ["flow_id", "source_ip", "destination_ip"])
     return scored.select(
         "flow_id", "anomaly_label", "anomaly_score", "predicted_threat", "classification_confidence", "risk_level", "recommended_action", "summary"
@@ -245,7 +235,7 @@ def unified_predict(t):
 
 @query("full_training_job")
 def full_training_job(t):
-    return training.train(flow_rows(t), ["flow_id"], depth=8).catalog(t.spark)
+    return training.train(flow_rows(t), ["flow_id"]).catalog(t.spark)
 
 
 @query("model_catalog")

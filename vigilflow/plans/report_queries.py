@@ -118,7 +118,7 @@ def report_filters(t):
 @query(
     "snapshot_top",
     f"""SELECT id, predicted_threat, risk_level, round(anomaly_score, 4) AS anomaly_score, round(classification_confidence, 4) AS classification_confidence,
-      source_ip, destination_ip, {iso('timestamp')} AS timestamp FROM p ORDER BY p.timestamp DESC, id DESC LIMIT 1000""",
+      source_ip, destination_ip, {iso('timestamp')} AS timestamp FROM p ORDER BY p.timestamp DESC, id DESC LIMIT 5000""",
     PAI,
     **FRAMES,
 )
@@ -162,24 +162,24 @@ def py_iso(c: str) -> str:
     f"""SELECT id AS Prediction_ID, {py_iso('timestamp')} AS Timestamp_UTC, coalesce(source_ip, '') AS Source_IP, destination_ip AS Destination_IP,
       CAST(destination_port AS VARCHAR) AS Destination_Port, protocol AS Protocol, predicted_threat AS Predicted_Threat, CASE WHEN intrusion_flag THEN 'True' ELSE 'False' END AS Intrusion_Flag,
       round(anomaly_score, 4) AS Anomaly_Score, round(classification_confidence, 4) AS Classification_Confidence, risk_level AS Risk_Level, recommended_action AS Recommended_Action
-    FROM p ORDER BY p.timestamp DESC, id DESC LIMIT 1000""",
+    FROM p""",
     PAI,
     **FRAMES,
 )
 def predictions_csv(t):
-    return R.predictions_export(week(t)[0])
+    return R.predictions_export(week(t)[0], None)
 
 
 @query(
     "alerts_csv",
     f"""SELECT id AS Alert_ID, CASE WHEN prediction_id = 0 THEN '' ELSE CAST(prediction_id AS VARCHAR) END AS Prediction_ID, {py_iso('timestamp')} AS Timestamp_UTC, severity AS Severity, status AS Status,
       alert_type AS Alert_Type, threat_label AS Threat_Label, round(confidence, 4) AS Confidence, coalesce(source_ip, '') AS Source_IP, destination_ip AS Destination_IP,
-      {py_iso('acknowledged_at')} AS Acknowledged_At, {py_iso('resolved_at')} AS Resolved_At FROM a ORDER BY a.timestamp DESC, id DESC LIMIT 1000""",
+      {py_iso('acknowledged_at')} AS Acknowledged_At, {py_iso('resolved_at')} AS Resolved_At FROM a""",
     PAI,
     **FRAMES,
 )
 def alerts_csv(t):
-    return R.alerts_export(week(t)[1])
+    return R.alerts_export(week(t)[1], None)
 
 
 @query(
@@ -187,43 +187,61 @@ def alerts_csv(t):
     f"""SELECT id AS Incident_ID, incident_key AS Incident_Key, title AS Title, severity AS Severity, status AS Status, category AS Category, source_ip AS Source_IP,
       coalesce(assigned_to, '') AS Assigned_To, created_by AS Created_By, {py_iso('created_at')} AS Created_At_UTC, {py_iso('acknowledged_at')} AS Acknowledged_At,
       {py_iso('investigation_started_at')} AS Investigation_Started_At, {py_iso('resolved_at')} AS Resolved_At, coalesce(resolution_summary, '') AS Resolution_Summary,
-      {LINKS.format('Linked_Alerts_Count', 'Linked_Predictions_Count')} FROM i ORDER BY i.created_at DESC, id DESC LIMIT 1000""",
+      {LINKS.format('Linked_Alerts_Count', 'Linked_Predictions_Count')} FROM i""",
     PAI + " incident_alerts incident_predictions",
     **FRAMES,
 )
 def incidents_csv(t):
-    return R.incidents_export(week(t)[2], t.domain.incident_alerts, t.domain.incident_predictions)
+    return R.incidents_export(week(t)[2], t.domain.incident_alerts, t.domain.incident_predictions, None)
 
 
 @query(
     "audit_csv",
     f"""SELECT id AS Audit_ID, {py_iso('timestamp')} AS Timestamp_UTC, username AS Username, user_role AS User_Role, action AS Action, resource_type AS Resource_Type, resource_id AS Resource_ID,
       outcome AS Outcome, ip_address AS IP_Address, request_method AS Request_Method, request_path AS Request_Path, CAST(status_code AS VARCHAR) AS Status_Code
-    FROM audit_logs WHERE {AT} ORDER BY audit_logs.timestamp DESC, id DESC LIMIT 1000""",
+    FROM audit_logs WHERE {AT}""",
     "audit_logs",
 )
 def audit_csv(t):
-    return R.audit_export(t.domain.audit_logs.filter(WEEK.contains("timestamp")))
+    return R.audit_export(t.domain.audit_logs.filter(WEEK.contains("timestamp")), None)
 
 
-@query(
-    "dataset_json_export",
-    f"""SELECT 'alerts' AS dataset, id, CAST(to_json({{'id': id, 'timestamp': {iso('timestamp')}, 'severity': severity, 'status': status, 'threat_label': threat_label}}) AS VARCHAR) AS item
-      FROM (SELECT * FROM a ORDER BY timestamp DESC, id DESC LIMIT 1000)
-    UNION ALL SELECT 'incidents', id, CAST(to_json({{'id': id, 'incident_key': incident_key, 'status': status, 'created_at': {iso('created_at')}}}) AS VARCHAR)
-      FROM (SELECT * FROM i ORDER BY created_at DESC, id DESC LIMIT 1000)
-    UNION ALL SELECT 'predictions', id, CAST(to_json({{'id': id, 'predicted_threat': predicted_threat, 'risk_level': risk_level, 'timestamp': {iso('timestamp')}}}) AS VARCHAR)
-      FROM (SELECT * FROM p ORDER BY timestamp DESC, id DESC LIMIT 1000)""",
-    PAI,
-    **FRAMES,
-)
+# Engines write the same small number in different ways (5.0E-4, 0.0005), so items are compared without their scores and these as numbers.
+SCORES = ("anomaly_score", "raw_decision_score")
+
+
+def scores_apart(items):
+    texts = items.select("*", *[F.get_json_object("item", f"$.{c}").cast("double").alias(c) for c in SCORES])
+    return texts.withColumn("item", F.regexp_replace("item", f'"({"|".join(SCORES)})":[^,]*,', ""))
+
+
+def items_apart(item):
+    numbers = ", ".join(f"CAST(json_extract_string({item}, '$.{c}') AS DOUBLE) AS {c}" for c in SCORES)
+    return f"""regexp_replace({item}, '"({"|".join(SCORES)})":[^,]*,', '', 'g') AS item, {numbers}"""
+
+
+ALL_COLUMNS = {
+    "alerts": """id prediction_id timestamp alert_type severity threat_label anomaly_score confidence source_ip destination_ip status recommended_action
+        created_at acknowledged_at resolved_at""".split(),
+    "incidents": """id incident_key title description severity status category source_ip assigned_to created_by created_at updated_at acknowledged_at
+        investigation_started_at resolved_at resolution_summary""".split(),
+    "predictions": """id timestamp source_ip destination_ip source_port destination_port protocol flow_duration total_forward_packets total_backward_packets
+        total_bytes anomaly_label anomaly_score raw_decision_score predicted_threat intrusion_flag classification_confidence risk_level recommended_action
+        model_version created_at""".split(),
+}
+
+
+def items_sql(dataset: str) -> str:
+    stamps = ("timestamp", "created_at", "updated_at", "acknowledged_at", "investigation_started_at", "resolved_at")
+    pairs = ", ".join(f"'{c}': {iso(c) if c in stamps else c}" for c in ALL_COLUMNS[dataset])
+    return f"SELECT '{dataset}' AS dataset, id, CAST(to_json({{{pairs}}}) AS VARCHAR) AS item FROM {dataset[0]}"
+
+
+@query("dataset_json_export", f"SELECT dataset, id, {items_apart('item')} FROM (" + " UNION ALL ".join(items_sql(d) for d in ALL_COLUMNS) + ")", PAI, **FRAMES)
 def dataset_json_export(t):
-    p, a, i = week(t)
-    return (
-        R.json_export("alerts", R.snapshot(a, "timestamp", 1000).select("id", "timestamp", "severity", "status", "threat_label"))
-        .unionByName(R.json_export("incidents", R.snapshot(i, "created_at", 1000).select("id", "incident_key", "status", "created_at")))
-        .unionByName(R.json_export("predictions", R.snapshot(p, "timestamp", 1000).select("id", "predicted_threat", "risk_level", "timestamp")))
-    )
+    """All rows and all fields of the three datasets; the raw record of a flow stays in its table."""
+    parts = [R.json_export(name, df.select(*ALL_COLUMNS[name])) for name, df in zip(("predictions", "alerts", "incidents"), week(t))]
+    return scores_apart(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
 # --- evidence ------------------------------------------------------------------------

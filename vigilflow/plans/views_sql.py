@@ -126,7 +126,9 @@ VIEWS = {
     "threat_intel": f"""
   SELECT {ip("s_suppkey")} AS indicator,
     CASE WHEN s_acctbal < 0 THEN 'MALICIOUS' WHEN s_acctbal < 3000 THEN 'SUSPICIOUS' ELSE 'BENIGN' END AS reputation,
-    (s_suppkey % 100) / 100 AS confidence, n_name || '|' || r_name AS categories, 'Reported by ' || s_name AS notes
+    (s_suppkey % 100) / 100 AS confidence, n_name || '|' || r_name AS categories, 'Reported by ' || s_name AS notes,
+    '2024-01-' || lpad(CAST(s_suppkey % 28 + 1 AS VARCHAR), 2, '0') || 'T00:00:00Z' AS first_seen,
+    '2024-02-' || lpad(CAST(s_suppkey % 28 + 1 AS VARCHAR), 2, '0') || 'T00:00:00Z' AS last_seen
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "flows": f"""
   SELECT {FLOW_ID} AS flow_id, l_shipdate AS captured_at, {ip("l_suppkey")} AS source_ip,
@@ -172,7 +174,9 @@ VIEWS = {
     CASE WHEN event_id % 3 = 0 THEN event_type END AS threat_category,
     CASE WHEN event_id % 5 = 0 THEN 'HIGH' END AS severity,
     CASE WHEN event_id % 7 = 0 THEN {pick(PORTS, "CAST(json_extract(props, '$.k') AS INTEGER) % 11")} END AS destination_port,
-    CASE WHEN event_id % 11 = 0 THEN repeat(event_type, 50) END AS query_text, '24h' AS time_range,
+    CASE WHEN event_id % 11 = 0 THEN repeat(event_type, 50) END AS query_text, CASE WHEN event_id % 13 = 0 THEN '17' END AS protocol,
+    CASE WHEN event_id % 4 = 1 THEN CAST(json_extract(props, '$.k') AS INTEGER) / 100 END AS min_confidence,
+    CASE WHEN event_id % 6 = 5 THEN 'NEW' END AS alert_status, '24h' AS time_range, 50 AS "limit", 0 AS "offset",
     CAST(json_extract(props, '$.k') AS BIGINT) AS result_count FROM events""",
 }
 # alerts are drawn from predictions
@@ -189,3 +193,18 @@ def with_views(names, body: str, **extra: str) -> str:
     parts = [f"{n} AS ({VIEWS[n]})" for n in order] + [f"{n} AS ({s})" for n, s in extra.items()]
     head = f"WITH {', '.join(parts)}\n" if parts else ""
     return head + body
+
+
+ATTACK = "lower(predicted_threat) <> 'benign'"
+#: The sentences that explain a scored flow, joined.
+REASONS_SQL = f"""SELECT id, array_to_string(list_filter([
+      CASE WHEN anomaly_score >= 0.70 THEN 'Severe anomaly divergence (score: ' || {fixed('anomaly_score', 3)} || ') detected by Isolation Forest'
+        WHEN anomaly_score >= 0.50 THEN 'Elevated statistical outlier score (' || {fixed('anomaly_score', 3)} || ') above nominal traffic baseline' END,
+      CASE WHEN {ATTACK} THEN 'Supervised Random Forest classified flow signature as ''' || predicted_threat || ''' attack vector' END,
+      CASE WHEN {ATTACK} AND classification_confidence >= 0.85 THEN 'High classifier confidence (' || {fixed('classification_confidence * 100', 1)} || '%) supporting threat designation'
+        WHEN {ATTACK} AND classification_confidence < 0.50 THEN 'Moderate classifier confidence (' || {fixed('classification_confidence * 100', 1)} || '%); recommends secondary validation' END,
+      CASE WHEN destination_port IN (21, 22, 23, 3389) THEN 'Target involves administrative remote access service (port ' || destination_port || ')'
+        WHEN destination_port IN (80, 443, 8080, 8443) THEN 'Target involves public web application service (port ' || destination_port || ')'
+        WHEN destination_port = 53 THEN 'Target involves core DNS resolution infrastructure (port 53)' END,
+      CASE WHEN risk_level IN ('CRITICAL', 'HIGH') THEN 'Composite risk assessment assigned ' || risk_level || ' priority based on combined anomaly and threat scores' END,
+      CASE WHEN NOT intrusion_flag AND NOT ({ATTACK}) THEN 'Flow telemetry metrics conform to expected baseline benign traffic patterns' END], lambda x: x IS NOT NULL), ' | ') AS reasons FROM predictions"""

@@ -247,6 +247,8 @@ class Domain:
             ((F.col("s_suppkey") % 100) / 100).alias("confidence"),
             F.array("n_name", "r_name").alias("categories"),
             F.concat(F.lit("Reported by "), "s_name").alias("notes"),
+            F.format_string("2024-01-%02dT00:00:00Z", F.col("s_suppkey") % 28 + 1).alias("first_seen"),
+            F.format_string("2024-02-%02dT00:00:00Z", F.col("s_suppkey") % 28 + 1).alias("last_seen"),
         )
 
     @cached_property
@@ -337,6 +339,11 @@ class Domain:
             F.when(F.col("event_id") % 5 == 0, "HIGH").alias("severity"),
             F.when(F.col("event_id") % 7 == 0, _pick(PORTS, k % 11)).alias("destination_port"),
             F.when(F.col("event_id") % 11 == 0, F.repeat(F.col("event_type"), 50)).alias("query_text"),
+            F.when(F.col("event_id") % 13 == 0, "17").alias("protocol"),
+            F.when(F.col("event_id") % 4 == 1, k / 100).alias("min_confidence"),
+            F.when(F.col("event_id") % 6 == 5, "NEW").alias("alert_status"),
             F.lit("24h").alias("time_range"),
+            F.lit(50).alias("limit"),
+            F.lit(0).alias("offset"),
             k.cast("long").alias("result_count"),
         )
