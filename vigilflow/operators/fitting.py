@@ -150,9 +150,11 @@ def fit_numeric(df: DataFrame, columns: list[str], scaler: str = "robust") -> li
     return params
 
 
-def fit(raw: DataFrame, scaler: str = "robust") -> FittedParams:
+def fit(raw: DataFrame, scaler: str = "robust", drop: list[str] = ()) -> FittedParams:
     """Learns all parameters from training rows (without target columns).
 
+    Columns named in ``drop`` tell rows apart but are no features.
+
     The cleaned, de-duplicated rows are written once to the shared scratch
     folder; every later pass is a column-pruned scan of that copy.
     """
@@ -164,7 +166,7 @@ def fit(raw: DataFrame, scaler: str = "robust") -> FittedParams:
     micro = features.durations_are_microseconds(cleaned)
     enriched = features.engineer(cleaned, micro)
     removed = cleaning.removed_columns(enriched)
-    kept = enriched.drop(*removed)
+    kept = enriched.drop(*removed, *drop)
     numeric, categorical = split_columns(kept)
     return FittedParams(
         numeric=fit_numeric(kept, numeric, scaler),
@@ -224,10 +226,6 @@ def transform(raw: DataFrame, params: FittedParams, keep: list[str] = ()) -> Dat
 # --- train / test split -----------------------------------------------------------
 
 
-def class_sizes(df: DataFrame, label: str) -> DataFrame:
-    return df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
-
-
 def test_quota(sizes: DataFrame, share: float) -> DataFrame:
     """Test rows per class: whole shares, then the largest remainders until the
     total is reached (a handful of class rows)."""
@@ -249,20 +247,25 @@ def train_test_split(
     slice has to be ranked, so a class with most rows is never sorted as a whole.
     Stratified when every class has two rows, plain otherwise.
     """
-    smallest = class_sizes(df, label).agg(F.min("_n")).first()[0] or 0
-    stratum = F.col(label) if smallest >= 2 else F.lit("all")
-    mark = F.md5(F.concat_ws("|", F.lit(seed), *key))
-    marked = df.withColumn("_label", stratum).withColumn("_mark", mark).withColumn("_slice", F.substring("_mark", 1, 4))
-    slices = marked.groupBy("_label", "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    mark = F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]))
+    # a struct is never NULL, so rows without label are a class like others in every join
+    marked = df.withColumn("_label", F.struct(F.col(label))).withColumn("_mark", mark).withColumn("_slice", F.substring("_mark", 1, 4))
+    slices = settle(marked.groupBy("_label", "_slice").agg(F.count(F.lit(1)).alias("_rows")), "slices")
+    smallest = slices.groupBy("_label").agg(F.sum("_rows").alias("_n")).agg(F.min("_n")).first()[0] or 0
+    if smallest < 2:
+        everything = F.struct(F.lit("all").alias(label))
+        marked = marked.withColumn("_label", everything)
+        slices = slices.withColumn("_label", everything).groupBy("_label", "_slice").agg(F.sum("_rows").alias("_rows"))
     until = Window.partitionBy("_label").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    quota = test_quota(marked.groupBy("_label").agg(F.count(F.lit(1)).alias("_n")), share)
+    quota = test_quota(slices.groupBy("_label").agg(F.sum("_rows").alias("_n")), share)
     plan = (
         slices.withColumn("_before", F.coalesce(F.sum("_rows").over(until), F.lit(0)))
         .join(quota, "_label")
         .withColumn("_take", F.col("_quota") - F.col("_before"))
         .withColumn("_whole", F.col("_take") >= F.col("_rows"))
     )
-    placed = marked.join(plan.select("_label", "_slice", "_take", "_whole"), ["_label", "_slice"])
+    plan = settle(plan.select("_label", "_slice", "_take", "_whole"), "split-plan")
+    placed = marked.join(plan, ["_label", "_slice"])
     at_edge = ~F.col("_whole") & (F.col("_take") > 0)
     decided = placed.filter(~at_edge).withColumn("is_test", F.col("_whole"))
     # only the one slice per class in which the quota is reached gets ranked

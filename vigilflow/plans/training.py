@@ -121,8 +121,9 @@ def train(raw: DataFrame, key: list[str], scaler: str = "robust", depth: int = V
     labelled = settle(labelled, "labelled")
     split = settle(fitting.train_test_split(labelled, "normalized_label", key), "split")
     labels = ["original_label", "normalized_label", "is_intrusion"]
-    inputs = [c for c in split.columns if c not in (*labels, "is_test", *key)]
-    params = fitting.fit(split.filter("NOT is_test").select(*inputs))
+    # with the key, as rows that differ in it alone are no duplicates; fit removes identifiers by name
+    inputs = [c for c in split.columns if c not in (*labels, "is_test")]
+    params = fitting.fit(split.filter("NOT is_test").select(*inputs), drop=key)
     matrix = settle(fitting.transform(split, params, keep=[*key, "normalized_label", "is_intrusion", "is_test"]), "matrix")
     features = params.feature_names()
     seen, held = matrix.filter("NOT is_test"), matrix.filter("is_test")
