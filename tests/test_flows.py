@@ -93,7 +93,7 @@ def test_quantiles_equal_numpy(spark):
     )
     df = spark.createDataFrame(pdf).repartition(6)
     probs = [0, 0.0001, 0.25, 0.5, 0.75, 0.9999, 1]
-    for limits in ((20_000, 10**9), (50, 0), (1, 0)):
+    for limits in ((20_000,), (50,), (1,)):
         found = exact_quantiles(df, list(pdf.columns), probs, *limits)
         for c in pdf.columns:
             assert np.allclose(found[c], np.quantile(pdf[c], probs), rtol=1e-12)

@@ -13,7 +13,7 @@ def test_scrub(spark):
     nested = {"user": "kim", "Password": "x", "deep": {"access_token": "y", "list": [{"secret_key": 1, "n": 2.5}, None]}, "tokens": 3}
     rows = [json.dumps(nested), '{"a":1}', "Bearer abc", "harmless", None, '[{"jwt": "x"}]', '{"p\\u0061ssword": "x"}', "{broken password"]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, d string")
-    got = {r.i: r.s for r in df.select("i", privacy.scrub_json("d").alias("s")).collect()}
+    got = {r.i: r.s for r in privacy.scrub_json(df, "d").withColumnRenamed("d", "s").collect()}
     clean = json.loads(got[0])
     assert clean["Password"] == clean["deep"]["access_token"] == clean["deep"]["list"][0]["secret_key"] == "[REDACTED]"
     assert clean["user"] == "kim" and clean["deep"]["list"][0]["n"] == 2.5 and clean["tokens"] == 3

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vigilflow.functions.skew import SALTS, join_facts, join_facts_spread
+from vigilflow.functions.skew import join_facts, join_facts_spread
 
 
 def frame(spark):
@@ -28,7 +28,25 @@ def test_hot_and_missing_keys(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert SALTS == 64
+
+
+def test_hot_keys_get_parts_by_their_share(spark):
+    """A key with a third of the rows is cut finer than the tasks, whatever their number."""
+    rows = frame(spark)
+    facts = rows.filter("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (4, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            spread = join_facts_spread(rows, facts, "k", "n").withColumn("task", F.spark_partition_id())
+            largest = spread.groupBy("task").count().agg(F.max("count")).first()[0]
+            assert largest < 4 * 30_000 / n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
 def test_top_rows_are_cut_before_the_shuffle(spark):

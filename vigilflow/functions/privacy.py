@@ -42,17 +42,24 @@ def _redact_json(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: json.dumps(_redact(json.loads(t)), ensure_ascii=False), na_action="ignore")
 
 
-def scrub_json(c: Column | str) -> Column:
-    """Values below forbidden keys, at any depth, become ``[REDACTED]``.
+def _json_rules(c: Column) -> tuple[Column, Column]:
+    """Whether a text is a JSON object or list, and whether it may name a forbidden key."""
+    is_json = F.try_parse_json(c).isNotNull() & F.ltrim(c).rlike(r"^[\[{]")
+    return F.coalesce(is_json, F.lit(False)), F.coalesce(c.rlike('(?i)"(' + "|".join(V.FORBIDDEN_KEYS) + ')"\\s*:') | c.contains("\\u"), F.lit(False))
+
+
+def scrub_json(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with the values below forbidden keys in a column's JSON, at any depth, as ``[REDACTED]``.
 
-    Only JSON that names a forbidden key goes through Python; everything else
-    stays as it is.  Text that is not JSON follows the text rule.
+    Rows are told apart first, so only JSON that names a forbidden key goes
+    through Python; all other JSON stays as it is.  Text that is not JSON
+    follows the text rule.
     """
-    c = F.col(c) if isinstance(c, str) else c
-    is_json = F.try_parse_json(c).isNotNull() & F.ltrim(c).rlike(r"^[\[{]")
-    names_secret = c.rlike('(?i)"(' + "|".join(V.FORBIDDEN_KEYS) + ')"\\s*:') | c.contains("\\u")
-    redacted = _redact_json(F.when(is_json & names_secret, c))
-    return F.when(is_json, F.coalesce(redacted, c)).otherwise(scrub_text(c))
+    c = F.col(f"`{column}`")
+    is_json, names_secret = _json_rules(c)
+    redacted = df.filter(is_json & names_secret).withColumn(column, _redact_json(c))
+    plain = df.filter(~(is_json & names_secret)).withColumn(column, F.when(is_json, c).otherwise(scrub_text(c)))
+    return plain.unionByName(redacted)
 
 
 def leak_scan(df: DataFrame, columns: list[str], patterns: dict[str, str] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from vigilflow.functions.network import canonical_ip
 from vigilflow.functions.skew import join_facts
 from vigilflow.functions.triage import risk_reasons
 from vigilflow.operators.paging import newest_per_group
+from vigilflow.schemas import conform
 from vigilflow.session import settle
 
 
@@ -155,6 +156,7 @@ def prediction_investigation(
     predictions: DataFrame, alerts: DataFrame, audit: DataFrame, intel: DataFrame, newest: int = V.TOP_AUDIT_ROWS
 ) -> DataFrame:
     """Scores, reasons, telemetry, first alert, newest audit rows and reputation of every prediction."""
+    predictions, alerts = conform(predictions, "predictions"), conform(alerts, "alerts")
     of_alert = ("status", "severity", "alert_type", "threat_label", "anomaly_score", "confidence", "recommended_action", "created_at", "acknowledged_at", "resolved_at")
     first_alert = alerts.groupBy("prediction_id").agg(F.min_by(F.struct("id", *of_alert), "id").alias("a"))
     about = audit.filter(F.col("resource_type") == "PREDICTION")

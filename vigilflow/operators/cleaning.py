@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilflow import fixed_values as V
-from vigilflow.functions.expr import any_of, count_if, literal_map
+from vigilflow.functions.expr import count_if, literal_map
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean")
 WHITESPACE = " \t\n\r\f\v"
@@ -197,7 +197,3 @@ def removed_columns(df: DataFrame) -> dict[str, str]:
     rest = df.drop(*reasons)
     reasons.update({c: V.DROP_REASON_CONSTANT for c in constant_columns(rest)})
     return {c: reasons[c] for c in df.columns if c in reasons}
-
-
-def has_text(columns: list[str], words: list[str]) -> Column:
-    return any_of([F.lower(c).contains(w) for c in columns for w in words])

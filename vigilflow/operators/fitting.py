@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from vigilflow import fixed_values as V
 from vigilflow.operators import cleaning, features
-from vigilflow.operators.quantiles import exact_quantiles
+from vigilflow.operators.quantiles import between, exact_quantiles, order_statistics, quantile_ranks
 from vigilflow.session import settle
 
 MAX_CATEGORIES = 1_000
@@ -128,17 +128,47 @@ def fit_categories(df: DataFrame, columns: list[str], limit: int = MAX_CATEGORIE
     return [found[c] for c in columns if c in found]
 
 
+def _ranks_once(df: DataFrame, columns: list[str]) -> tuple[dict[str, list[float | None]], dict[str, list[float | None]]]:
+    """Clip bounds with the median of the raw values, and quartiles of the median-filled ones, from one selection.
+
+    Filling puts as many medians as there are NULLs behind the lower middle
+    value, so the rank of a filled value follows from its rank among the raw ones.
+    """
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    total, sizes = row["n"], {c: row[f"n{i}"] for i, c in enumerate(columns)}
+    outer_probs = [V.CLIP_QUANTILES[0], 0.5, V.CLIP_QUANTILES[1]]
+
+    def raw_rank(c: str, rank: int) -> int | None:
+        """Of the value at a rank among the filled values; None for a filled-in one."""
+        middle = quantile_ranks(sizes[c], 0.5)[0]
+        if rank <= middle:
+            return rank
+        return None if rank <= middle + total - sizes[c] else rank - (total - sizes[c])
+
+    wanted = {
+        c: {r for p in outer_probs for r in quantile_ranks(n, p)}
+        | {r for p in (0.25, 0.75) for k in quantile_ranks(total, p) if (r := raw_rank(c, k)) is not None}
+        for c, n in sizes.items() if n
+    }
+    values = order_statistics(df, wanted, sizes)
+    outer, quartiles = {}, {}
+    for c, n in sizes.items():
+        outer[c] = [between(*[values[c, r] for r in quantile_ranks(n, p)], n, p) if n else None for p in outer_probs]
+        filled = lambda k, c=c: outer[c][1] if (r := raw_rank(c, k)) is None else values[c, r]
+        quartiles[c] = [between(*map(filled, quantile_ranks(total, p)), total, p) if n else None for p in (0.25, 0.75)]
+    return outer, quartiles
+
+
 def fit_numeric(df: DataFrame, columns: list[str], scaler: str = "robust") -> list[NumericParams]:
     """Bounds and medians of the raw values; scale of the median-filled values."""
     if not columns:
         return []
-    outer = exact_quantiles(df, columns, [V.CLIP_QUANTILES[0], 0.5, V.CLIP_QUANTILES[1]])
+    outer, quartiles = _ranks_once(df, columns)
     medians = {c: m for c, (_, m, _) in outer.items() if m is not None}
-    filled = df.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(m)).alias(c) for c, m in medians.items()])
     if scaler == "robust":
-        quartiles = exact_quantiles(filled, list(medians), [0.25, 0.75])
-        scales = {c: (medians[c], hi - lo) for c, (lo, hi) in quartiles.items()}
+        scales = {c: (medians[c], quartiles[c][1] - quartiles[c][0]) for c in medians}
     else:
+        filled = df.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(m)).alias(c) for c, m in medians.items()])
         row = filled.agg(*[f(f"`{c}`") for c in medians for f in (F.avg, F.stddev_pop)]).first()
         scales = {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(medians)}
     params = []

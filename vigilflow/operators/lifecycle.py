@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilflow import fixed_values as V
 from vigilflow.functions.skew import join_facts, join_facts_spread
+from vigilflow.session import settle
 
 # Requests of one entity are applied in (requested_at, request_id) order.
 PLACE = ["requested_at", "request_id"]
@@ -36,7 +37,8 @@ def _before(a: Column, b: Column) -> Column:
 def _prepared(requests: DataFrame, entities: DataFrame, key: str) -> DataFrame:
     target = F.upper(F.trim("target"))
     status = entities.select(F.col("id").alias(key), F.upper("status").alias("initial"))
-    return join_facts(requests.withColumn("target", target), status, key)
+    # written once: the firsts and the joins below all read it
+    return settle(join_facts(requests.withColumn("target", target), status, key), "requests")
 
 
 def alert_transitions(requests: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -114,7 +116,7 @@ def incident_transitions(requests: DataFrame, incidents: DataFrame) -> DataFrame
     known = join_facts_spread(r, end, "incident_id", "_n").drop("_n")
     open_now = (F.col("resolved").isNull()) | (here < F.col("resolved"))
     past_ack = F.when(F.col("initial") == "OPEN", F.col("acked") < here).otherwise(F.col("initial") != "RESOLVED")
-    live = known.withColumn("live", F.coalesce(open_now & past_ack, F.lit(False)))
+    live = settle(known.withColumn("live", F.coalesce(open_now & past_ack, F.lit(False))), "requests")
     middle = live.groupBy("incident_id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.when(F.first("initial").isin("OPEN", "ACKNOWLEDGED", "INVESTIGATING"), _first("CONTAINED", F.col("live"))).alias("contained"),

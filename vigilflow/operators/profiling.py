@@ -42,10 +42,6 @@ def profile_overview(df: DataFrame) -> DataFrame:
     )
 
 
-def profile_types(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame(df.dtypes, "column_name string, type string")
-
-
 def profile_missing(stats: DataFrame) -> DataFrame:
     return stats.filter("missing > 0").select(
         "column_name", F.col("missing").alias("count"), percent_of(F.col("missing"), F.col("rows")).alias("percentage")
@@ -73,23 +69,17 @@ def profile_problems(stats: DataFrame) -> DataFrame:
 def unique_columns(df: DataFrame) -> list[str]:
     """Columns with a different value in every row (one NULL is a value too).
 
-    A distinct-count sketch rules out most columns in one scan; only those it
-    cannot rule out are counted exactly.
+    Exact, in one job: every cell becomes a hash, hashes of a column are counted,
+    and columns with a repeated one go.
     """
-    row = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.approx_count_distinct(f"`{c}`", 0.02).alias(f"d{i}") for i, c in enumerate(df.columns)],
-        *[count_if(is_missing(c, d)).alias(f"m{i}") for i, (c, d) in enumerate(df.dtypes)],
-    ).first()
-    rows = row["rows"]
-    found = []
-    for i, c in enumerate(df.columns):
-        if row[f"m{i}"] > 1 or row[f"d{i}"] < 0.8 * rows:
-            continue
-        repeated = df.groupBy(F.col(f"`{c}`")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        if repeated.limit(1).count() == 0:
-            found.append(c)
-    return found
+    cells = [
+        F.struct(F.lit(i).alias("i"), F.when(~is_missing(c, d), F.sha2(F.col(f"`{c}`").cast("string"), 256)).alias("v"))
+        for i, (c, d) in enumerate(df.dtypes)
+    ]
+    counts = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("i").agg(F.max("n").alias("n")).filter("n = 1").collect()
+    unique = {r["i"] for r in largest}
+    return [c for i, c in enumerate(df.columns) if i in unique]
 
 
 def profile_identifiers(df: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilflow.functions.expr import count_if
+from vigilflow.session import settle
 
 ACCURACY = 2_000
 MARGIN = 2 / ACCURACY
@@ -68,44 +69,60 @@ def _by_interval(ranks: list[_Rank]) -> dict[tuple, list[_Rank]]:
     return groups
 
 
-def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], read_limit: int = 20_000, direct_limit: int = 2_000_000
-) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles of the non-NULL values per column.
+def column_sizes(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Non-NULL values per column."""
+    counted = df.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    return {c: counted[i] for i, c in enumerate(columns)}
+
 
-    Inputs of at most ``direct_limit`` cells take one plain aggregate; larger
-    ones are narrowed until at most ``read_limit`` rows are left per interval.
+def order_statistics(df: DataFrame, wanted: dict[str, set[int]], sizes: dict[str, int], read_limit: int = 20_000) -> dict[tuple[str, int], float]:
+    """The values at the wanted zero-based ranks among the non-NULL values of each column.
+
+    All columns and ranks are narrowed together, until at most ``read_limit``
+    rows are left in an interval, which are read, at most ``READ_BATCH`` intervals
+    at a time.  The columns are written once, so passes scan numbers only.
     """
-    if not columns:
+    ranks = {(c, r): _Rank(c, r, sizes[c]) for c, rs in wanted.items() for r in rs}
+    if not ranks:
         return {}
-    counted = df.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    sizes = {c: counted[i] for i, c in enumerate(columns)}
-    if sum(sizes.values()) <= direct_limit:
-        row = df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), list(probs)).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-        return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(columns)}
-    ranks: dict[tuple[str, int], _Rank] = {}
-    for c, n in sizes.items():
-        for p in probs if n else ():
-            for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1))):
-                ranks.setdefault((c, r), _Rank(c, r, n))
+    columns = sorted(wanted)
+    numbers = settle(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]), "numbers")
     while unsettled := [r for r in ranks.values() if r.value is None]:
         few = [r for r in unsettled if r.inside <= read_limit]
         many = [r for r in unsettled if r.inside > read_limit]
         if few:
-            _read(df, few)
+            _read(numbers, few)
         if many:
-            _narrow(df, many)
-    return {c: [_interpolate(ranks, c, n, p) for p in probs] for c, n in sizes.items()}
+            _narrow(numbers, many)
+    return {k: r.value for k, r in ranks.items()}
+
+
+def quantile_ranks(n: int, prob: float) -> tuple[int, int]:
+    """The two ranks between which a quantile of ``n`` values lies."""
+    position = prob * (n - 1)
+    return math.floor(position), math.ceil(position)
 
 
-def _interpolate(ranks: dict, column: str, n: int, prob: float) -> float | None:
-    if not n:
-        return None
+def between(first: float, second: float, n: int, prob: float) -> float:
     position = prob * (n - 1)
-    first, second = (ranks[column, f(position)].value for f in (math.floor, math.ceil))
     return first + (second - first) * (position - math.floor(position))
 
 
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], read_limit: int = 20_000) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles of the non-NULL values per column."""
+    if not columns:
+        return {}
+    sizes = column_sizes(df, columns)
+    wanted = {c: {r for p in probs for r in quantile_ranks(n, p)} for c, n in sizes.items() if n}
+    values = order_statistics(df, wanted, sizes, read_limit)
+
+    def quantile(c: str, p: float) -> float | None:
+        n = sizes[c]
+        return between(*[values[c, r] for r in quantile_ranks(n, p)], n, p) if n else None
+
+    return {c: [quantile(c, p) for p in probs] for c in columns}
+
+
 def _read(df: DataFrame, ranks: list[_Rank]) -> None:
     """Fetches intervals of at most ``read_limit`` rows, some per job."""
     groups = list(_by_interval(ranks).items())

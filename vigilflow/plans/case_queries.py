@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vigilflow import fixed_values as V
 from vigilflow.functions.expr import iso as spark_iso
-from vigilflow.operators import cases as C, lifecycle as L
+from vigilflow.operators import cases as C, lifecycle as L, scoring
 from vigilflow.plans.hunting_queries import texts
 from vigilflow.plans.registry import query
 from vigilflow.plans.report_queries import items_apart, scores_apart
@@ -386,6 +386,22 @@ def incident_assign(t):
     return C.assign_incidents(t.domain.incidents, asked, t.domain.users)
 
 
+@query(
+    "assignment_push",
+    f"""SELECT id, {iso('created_at')} AS timestamp, incident_key, 'Customer#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS assigned_to, 'lead' AS assigned_by
+    FROM incidents i JOIN orders ON o_orderkey = i.id JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0 AND c_mktsegment <> 'HOUSEHOLD'""",
+    "incidents",
+)
+def assignment_push(t):
+    """Push envelopes of accepted assignments, dated at the opening of the case."""
+    asked = t.orders.select(F.col("o_orderkey").alias("incident_id"), F.format_string("Customer#%09d", "o_custkey").alias("assigned_to"))
+    opened = t.domain.incidents.select(F.col("id").alias("incident_id"), "created_at")
+    done = C.assign_incidents(t.domain.incidents, asked, t.domain.users).join(opened, "incident_id")
+    sent = scoring.assignment_events(done, "lead", F.col("created_at"))
+    data = F.from_json("data", "id long, incident_key string, assigned_to string, assigned_by string")
+    return texts(sent.select("timestamp", data.alias("d")).select("timestamp", "d.*"), "timestamp")
+
+
 @query(
     "note_append",
     r"""SELECT incident_id, author, regexp_replace(regexp_replace(raw, '^\s+', ''), '\s+$', '') AS note,

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from vigilflow import fixed_values as V
 from vigilflow.functions.expr import iso as spark_iso
 from vigilflow.functions.timerange import literal
-from vigilflow.operators import analytics as A, cases as C, cleaning, features, fitting, paging as P, profiling, quality, telemetry
+from vigilflow.operators import analytics as A, cleaning, features, fitting, paging as P, profiling, quality, telemetry
 from vigilflow.plans.registry import query
-from vigilflow.plans.views_sql import FLOW_ID, fixed, iso, pct, text_list
+from vigilflow.plans.views_sql import fixed, iso, pct
 from vigilflow.session import scratch_path
 from vigilflow.sources import exports, flows as S
-from vigilflow.sources.domain import AS_OF, PORTS
 
 TOTAL_PACKETS = "(coalesce(total_fwd_packets, 0) + coalesce(total_backward_packets, 0))"
 TOTAL_BYTES = "(coalesce(total_length_of_fwd_packets, 0) + coalesce(total_length_of_bwd_packets, 0))"
@@ -226,9 +225,6 @@ PAYLOAD_SQL = """SELECT event_id, CASE event_id % 4
 def payload_maps(t):
     value, key = F.col("value").cast("string"), F.col("event_id").cast("string")
 
-    def pairs(**_):
-        return None
-
     def entry(*kv):
         return F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
 

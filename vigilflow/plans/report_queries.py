@@ -352,7 +352,7 @@ DETAILS = """CASE event_type WHEN 'click' THEN '{"user": ' || user_id || ', "Pas
     + """' WHEN 'signup' THEN 'plain text' ELSE props END AS details FROM events""",
 )
 def scrub_details(t):
-    return t.events.withColumn("details", F.expr(DETAILS)).select("event_id", privacy.scrub_json("details").alias("details"))
+    return privacy.scrub_json(t.events.select("event_id", F.expr(DETAILS).alias("details")), "details")
 
 
 @query(

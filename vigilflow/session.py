@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -27,17 +30,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
     Only a local master without that setting may use a temporary folder of its
-    machine: on a cluster the executors would not see it.
+    machine, removed when Python ends: on a cluster the executors would not see it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="vigilflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root(spark)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@cache
+def _own_folder() -> str:
+    root = tempfile.mkdtemp(prefix="vigilflow-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
+def _local_root(spark: SparkSession) -> str:
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return _own_folder()
+
+
 def settle(df, name: str):
     """Write ``df`` to the shared scratch folder and read it back.
 

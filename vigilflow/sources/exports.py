@@ -2,34 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import logging
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 
 from vigilflow.functions.privacy import scrub_json
 
+log = logging.getLogger(__name__)
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Header, minimal quoting, quotes doubled, empty text as nothing."""
     df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).json(path)
-
-
 def append_audit(events: DataFrame, path: str) -> bool:
-    """Append scrubbed audit rows; a failure is reported, never raised."""
+    """Append scrubbed audit rows; a failed write is logged, and the main job goes on."""
+    scrubbed = scrub_json(events, "details")
     try:
-        events.withColumn("details", scrub_json("details")).write.mode("append").parquet(path)
-        return True
-    except Exception as error:  # the main job must go on
-        print(f"audit rows were not written: {error}")
+        scrubbed.write.mode("append").parquet(path)
+    except (Py4JJavaError, PySparkException):
+        log.exception("audit rows were not written to %s", path)
         return False
-
-
-def read_frame(spark: SparkSession, path: str, expected: list[str]) -> DataFrame:
-    """A saved frame; missing columns are an error."""
-    df = spark.read.parquet(path)
-    missing = [c for c in expected if c not in df.columns]
-    if missing:
-        raise TypeError(f"{path} lacks columns {missing}")
-    return df.select(*[F.col(c) for c in expected])
+    return True

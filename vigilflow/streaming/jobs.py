@@ -21,12 +21,15 @@ def score_stream(flows: DataFrame, payload: str, score: Callable[[DataFrame], Da
     """Validate, score and store: predictions, alerts, push events, quarantine.
 
     Every batch overwrites its own folders, so a restarted batch leaves the same
-    rows; readers take finished batches only.
+    rows; readers take finished batches only.  The source is read and judged once
+    per batch: both parts are split from a written table, of which two are kept.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         judged = batch.withColumn("reasons", quality.payload_reasons(payload))
-        good, bad = quality.split_valid(judged)
+        place = f"{path}/judged/slot={batch_id % 2}"
+        judged.write.mode("overwrite").parquet(place)
+        good, bad = quality.split_valid(batch.sparkSession.read.schema(judged.schema).parquet(place))
         bad.write.mode("overwrite").parquet(f"{path}/quarantine/batch_id={batch_id}")
         scoring.persist_scored(score(good), path, batch_id)
 
@@ -54,15 +57,17 @@ def dedup(events: DataFrame, key: str) -> DataFrame:
 
 
 def keep_latest(events: DataFrame, path: str, checkpoint: str, at: str = "timestamp", rows: int = V.LIVE_FEED_ROWS) -> None:
-    """The newest rows of the whole stream, one version folder per batch."""
+    """The newest rows of the whole stream; the last two versions are kept, in turn, in two folders."""
     spark = events.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         merged = top(batch)
         if batch_id > 0:
             # the version before this batch, also when the batch is repeated
-            merged = top(merged.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/version={batch_id - 1}")))
-        merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+            before = spark.read.parquet(f"{path}/slot={(batch_id - 1) % 2}").filter(F.col("version") == batch_id - 1)
+            merged = top(merged.unionByName(before.select(*batch.columns)))
+        versioned = merged.withColumn("version", F.lit(batch_id).cast("long"))
+        versioned.write.mode("overwrite").parquet(f"{path}/slot={batch_id % 2}")
 
     def top(df: DataFrame) -> DataFrame:
         return df.dropDuplicates(["id"]).orderBy(*newest_first(at)).limit(rows)
@@ -73,7 +78,7 @@ def keep_latest(events: DataFrame, path: str, checkpoint: str, at: str = "timest
 def read_latest(spark, path: str) -> DataFrame:
     versions = spark.read.parquet(path)
     newest = versions.agg(F.max("version").alias("v")).scalar()
-    return versions.filter(F.col("version") == newest).drop("version")
+    return versions.filter(F.col("version") == newest).drop("version", "slot")
 
 
 # --- windows --------------------------------------------------------------------------
