@@ -128,25 +128,26 @@ def test_pieces_equal_the_library(spark):
     ids, counts = piece_viterbi.Encoder(pieces)(texts)
     for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
         assert own.tolist() == library.encode(text)
-        assert piece_viterbi.decode_ids(own.tolist(), pieces) == text
+        assert piece_viterbi.decode_ids(own, np.array([len(own)]), pieces) == [text]
 
 
 def test_scored_pieces_take_the_best_path():
-    scores = {" a": -1.0, "b": -2.0, " ab": -4.5, "bc": -1.5, "c": -3.0, "a": -2.5, " ": -1.0, "abc": -3.5, "ca": -2.0}
-    ids = {p: i for i, p in enumerate(scores)}
-    pieces = piece_viterbi.Pieces(scores, ids, list(range(100, 356)), -20.0, [p.encode() for p in scores])
+    rated = {" a": -1.0, "b": -2.0, " ab": -4.5, "bc": -1.5, "c": -3.0, "a": -2.5, " ": -1.0, "abc": -3.5, "ca": -2.0}
+    ids = {p: i for i, p in enumerate(rated)}
+    scores = {ids[p]: s for p, s in rated.items()}
+    pieces = piece_viterbi.Pieces(ids, scores, list(range(100, 356)), -20.0, [p.encode() for p in rated])
 
     def best(word):
         """The best sum over all ways to cut."""
         if not word:
             return 0.0
-        return max((scores.get(word[:n], -20.0 if n == 1 else float("-inf")) + best(word[n:])) for n in range(1, len(word) + 1))
+        return max((rated.get(word[:n], -20.0 if n == 1 else float("-inf")) + best(word[n:])) for n in range(1, len(word) + 1))
 
     rng = random.Random(3)
     words = sorted({" " + "".join(rng.choice("abcx") for _ in range(rng.randint(0, 9))) for _ in range(200)})
     for word, code in zip(words, piece_viterbi.segment(words, pieces), strict=True):
         found = np.frombuffer(code, "<i4").tolist()
-        assert abs(sum(list(scores.values())[i] if i < 100 else -20.0 for i in found) - best(word)) < 1e-9
+        assert abs(sum(scores[i] if i < 100 else -20.0 for i in found) - best(word)) < 1e-9
         assert b"".join(pieces.texts[i] if i < 100 else bytes([i - 100]) for i in found) == word.encode()
 
 

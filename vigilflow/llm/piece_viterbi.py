@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,57 +28,64 @@ from vigilflow.llm.common import small_batches, texts_of
 MARK = "▁"
 WORDS = re.compile(" +[^ ]*")
 #: Words that a Python worker remembers between batches.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
+#: Bytes of text whose words are segmented together.
+TOGETHER = 8_000_000
+
+
+#: Stands for a word's begin, and for a character that is no piece: nothing merges with either.
+NOTHING = -1
 
 
 @dataclass
 class Pieces:
-    """A vocabulary: scores and ids by piece (a blank for the mark), ids of the 256 bytes, and the cost of an unknown character."""
+    """A vocabulary: pieces with a blank for the mark, their ids and scores, ids of the 256 bytes, and the cost of an unknown character."""
 
-    scores: dict[str, float]
     ids: dict[str, int]
+    scores: dict[int, float]
     bytes_at: list[int]
     unknown: float
     texts: list[bytes]
     merges: bool = False
-    allowed: dict[tuple[str, str], bool] = field(default_factory=dict)
-    ends: dict[str, tuple[int, ...]] = field(default_factory=dict)
-    codes: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        """``ends``: lengths, the longest first, of the pieces of two or more characters that end in two given ones; ``codes``: ids as bytes."""
-        self.codes = {piece: i.to_bytes(4, "little") for piece, i in self.ids.items()}
-        lengths: dict[str, set[int]] = {}
-        for piece in self.scores:
-            if len(piece) > 1:
-                lengths.setdefault(piece[-2:], set()).add(len(piece))
-        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
-
+        self.pieces = {i: piece for piece, i in self.ids.items()}
+        self.codes = {i: i.to_bytes(4, "little") for i in self.pieces}
+        self.allowed: dict[int, bool] = {}
+        sizes = np.array([len(t) for t in self.texts], np.int64)
+        #: All pieces' bytes in a row, and where each piece's begin and how many they are.
+        self.stored = np.frombuffer(b"".join(self.texts), np.uint8), np.cumsum(sizes) - sizes, sizes
+        #: A trie of the pieces: a node is (children by character, id of the piece that ends here or NOTHING).
+        self.root: dict = {}
+        for piece, i in self.ids.items():
+            node = (self.root, NOTHING)
+            for char in piece[:-1]:
+                node = node[0].setdefault(char, ({}, NOTHING))
+            node[0][piece[-1]] = (node[0].get(piece[-1], ({}, NOTHING))[0], i)
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives: the neighbours with the best joint piece first, of equal ones the leftmost."""
         parts = list(text)
         while True:
-            joint = [self.scores.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+            joint = [self.scores[i] if (i := self.ids.get(a + b)) is not None else None for a, b in zip(parts, parts[1:], strict=False)]
             known = [s for s in joint if s is not None]
             if not known:
                 return parts
             i = joint.index(max(known))
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
+    def allows(self, left: int, right: int) -> bool:
+        """Whether merges leave the two pieces alone, side by side."""
+        if len(self.allowed) > REMEMBERED:
+            self.allowed.clear()
+        texts = [self.pieces[i] for i in (left, right) if i != NOTHING]
+        known = self.allowed[left << 32 | right] = self.merged("".join(texts)) == texts
+        return known
+
     def spelled(self, char: str) -> bytes:
         """The ids of the bytes of a character that is no piece."""
         return b"".join(self.bytes_at[b].to_bytes(4, "little") for b in char.encode("utf-8", "surrogatepass"))
 
-    def allows(self, left: str, right: str) -> bool:
-        """Whether merges leave the two pieces alone, side by side (``left`` is empty at a word's begin)."""
-        known = self.allowed.get((left, right))
-        if known is None:
-            if len(self.allowed) > REMEMBERED // 2:
-                self.allowed.clear()
-            known = self.allowed[left, right] = self.merged(left + right) == ([left, right] if left else [right])
-        return known
-
 
 def load(path: str, merges: bool | None = None) -> Pieces:
     """Reads a SentencePiece model file on the driver.
@@ -96,7 +103,7 @@ def load(path: str, merges: bool | None = None) -> Pieces:
     probe = "ﬁ  Á\t "
     if model.normalize(probe).replace(MARK, " ") != " " + probe:
         raise ValueError("the file's normaliser changes texts")
-    scores, ids, bytes_at, texts = {}, {}, [-1] * 256, []
+    ids, scores, bytes_at, texts = {}, {}, [-1] * 256, []
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         if model.is_byte(i):
@@ -108,56 +115,99 @@ def load(path: str, merges: bool | None = None) -> Pieces:
             piece = piece.replace(MARK, " ")
             if " " in piece.lstrip(" "):
                 raise ValueError(f"a piece goes on over a blank: {piece!r}")
-            scores[piece], ids[piece] = model.get_score(i), i
+            ids[piece], scores[i] = i, model.get_score(i)
             texts.append(piece.encode())
     if min(bytes_at) < 0:
         raise ValueError("the file has no byte pieces")
     if merges is None:
         merges = all(float(s).is_integer() for s in scores.values())
-    return Pieces(scores, ids, bytes_at, min(scores.values()) - 10, texts, merges)
+    return Pieces(ids, scores, bytes_at, min(scores.values()) - 10, texts, merges)
+
+
+def _shared(word: str, before: str) -> int:
+    n = min(len(word), len(before))
+    i = 0
+    while i < n and word[i] == before[i]:
+        i += 1
+    return i
 
 
 def segment(words: list[str], pieces: Pieces) -> Iterator[bytes]:
-    """The ids (four bytes each, lowest first) of each of the sorted ``words``, on the best or on the allowed path.
+    """The ids (four bytes each, lowest first) of each of the sorted ``words``, on the allowed or on the best path.
 
-    For the word's prefix of i characters ``score[i]`` is that of its path,
-    ``last[i]`` the path's last piece and ``path[i]`` its ids.  Of equal scores the
-    longest last piece counts.  A character that is no piece stands for itself,
-    for scored pieces at the cost ``unknown``.
+    A character that is no piece stands for itself, for scored pieces at the cost
+    ``unknown``.  On the stacks, for the word's prefix of n characters:
+    ``begun[n]`` are the pieces that go on there (trie node and begin, the longest
+    first), ``last[n]`` is the last piece of the prefix's path, ``path[n]`` its ids.
     """
-    score, last, path, before = [0.0], [""], [b""], ""
-    scores, codes, ends, allowed, merges = pieces.scores, pieces.codes, pieces.ends, pieces.allowed, pieces.merges
+    return _on_allowed_path(words, pieces) if pieces.merges else _on_best_path(words, pieces)
+
+
+def _on_allowed_path(words: list[str], pieces: Pieces) -> Iterator[bytes]:
+    begun, last, path, before = [[]], [NOTHING], [b""], ""
+    first, codes, known = pieces.root.get, pieces.codes, pieces.allowed.get
     for word in words:
-        n = min(len(word), len(before))
-        shared = 0
-        while shared < n and word[shared] == before[shared]:
-            shared += 1
-        del score[shared + 1 :], last[shared + 1 :], path[shared + 1 :]
-        for end in range(shared + 1, len(word) + 1):
-            one = word[end - 1]
-            top, piece, begin = score[end - 1] + scores.get(one, pieces.unknown), one, end - 1
-            for length in ends.get(word[end - 2 : end], ()) if end > 1 else ():
-                if length <= end:
-                    other = word[end - length : end]
-                    if other in scores:
-                        if merges:
-                            left = last[end - length]
-                            known = allowed.get((left, other))
-                            if pieces.allows(left, other) if known is None else known:
-                                piece, begin = other, end - length
-                                break
-                        elif (s := score[end - length] + scores[other]) > top or s == top and begin == end - 1:
-                            top, piece, begin = s, other, end - length
-            score.append(top)
+        shared = _shared(word, before)
+        del begun[shared + 1 :], last[shared + 1 :], path[shared + 1 :]
+        for end in range(shared, len(word)):
+            char = word[end]
+            going, piece, begin = [], NOTHING, end
+            for children, start in begun[end]:
+                node = children.get(char)
+                if node is not None:
+                    if node[0]:
+                        going.append((node[0], start))
+                    i = node[1]
+                    # of the pieces that end here one at most is allowed
+                    if i >= 0 > piece:
+                        fits = known(last[start] << 32 | i)
+                        if pieces.allows(last[start], i) if fits is None else fits:
+                            piece, begin = i, start
+            node = first(char)
+            if node is not None:
+                if node[0]:
+                    going.append((node[0], end))
+                if piece < 0:
+                    piece = node[1]
+            begun.append(going)
             last.append(piece)
-            path.append(path[begin] + (codes[piece] if piece in codes else pieces.spelled(piece)))
+            path.append(path[begin] + (codes[piece] if piece >= 0 else pieces.spelled(char)))
+        before = word
+        yield path[-1]
+
+
+def _on_best_path(words: list[str], pieces: Pieces) -> Iterator[bytes]:
+    """``score[n]`` is that of the prefix's path; of equal scores the longest last piece counts."""
+    begun, score, path, before = [[]], [0.0], [b""], ""
+    for word in words:
+        shared = _shared(word, before)
+        del begun[shared + 1 :], score[shared + 1 :], path[shared + 1 :]
+        for end in range(shared, len(word)):
+            char = word[end]
+            going, found = [], []
+            for children, start in (*begun[end], (pieces.root, end)):
+                node = children.get(char)
+                if node is not None:
+                    going.append((node[0], start))
+                    if node[1] >= 0:
+                        found.append((score[start] + pieces.scores[node[1]], start, pieces.codes[node[1]]))
+            if char not in pieces.ids:
+                found.append((score[end] + pieces.unknown, end, pieces.spelled(char)))
+            top, begin, code = max(found, key=lambda x: x[0])  # the first of equal ones
+            begun.append(going)
+            score.append(top)
+            path.append(path[begin] + code)
         before = word
         yield path[-1]
 
 
 def words_of(text: str) -> list[str]:
-    """The marked words of a text; none for the empty text."""
-    return WORDS.findall(" " + text) if text else []
+    """The marked words of a text, each without the blank that all begin with; none for the empty text."""
+    if not text:
+        return []
+    if text[0] == " " or "  " in text:  # runs of blanks belong to the word behind them
+        return [w[1:] for w in WORDS.findall(" " + text)]
+    return text.split(" ")
 
 
 class Encoder:
@@ -172,20 +222,44 @@ class Encoder:
         if len(self.known) > self.remembered // 2:  # words not met for that long are forgotten
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = sorted({w for ws in split for w in ws}.difference(known))
-        if older:
-            known.update((w, older[w]) for w in new if w in older)
-            new = [w for w in new if w not in known]
-        known.update(zip(new, segment(new, self.pieces), strict=True))
-        parts = [b"".join([known[w] for w in ws]) for ws in split]
+        distinct = set().union(*split)
+        known.update((w, older[w]) for w in distinct.difference(known).intersection(older))
+        new = sorted(distinct.difference(known))
+        known.update(zip(new, segment([" " + w for w in new], self.pieces), strict=True))
+        here = {w: known[w] for w in distinct}
+        parts = [b"".join(map(here.__getitem__, ws)) for ws in split]
         return np.frombuffer(b"".join(parts), "<i4"), np.array([len(p) // 4 for p in parts], np.int64)
 
 
-def decode_ids(ids: list[int], pieces: Pieces) -> str:
-    """The text of ids: pieces in a row without the first blank, which encoding put there."""
-    texts = pieces.texts
-    whole = b"".join([texts[i] for i in ids])
-    return whole[1:].decode("utf-8", "replace") if whole[:1] == b" " else whole.decode("utf-8", "replace")
+def decode_ids(ids: np.ndarray, counts: np.ndarray, pieces: Pieces) -> list[str]:
+    """The texts of rows of ids: pieces in a row without the first blank, which encoding put there."""
+    ids = np.asarray(ids).astype(np.int64)
+    if len(ids) and not 0 <= ids.min() <= ids.max() < len(pieces.texts):
+        raise ValueError("an id is outside the vocabulary")
+    whole, starts, sizes = pieces.stored
+    n = sizes[ids]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    # byte k of the output is byte k - (its piece's place in the output) + (its piece's place in the store)
+    data = whole[np.arange(total) + np.repeat(starts[ids] - (ends - n), n)].tobytes()
+    last = np.concatenate(([0], ends))[np.cumsum(counts)].tolist()
+    texts = []
+    for begin, end in zip([0, *last], last, strict=False):
+        texts.append(data[begin + (data[begin : begin + 1] == b" " and begin < end) : end].decode("utf-8", "replace"))
+    return texts
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches put together up to about ``size`` bytes: more words in a batch share more prefixes."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        held.append(batch)
+        held_bytes += batch.nbytes
+        if held_bytes >= size:
+            yield pa.concat_batches(held)
+            held, held_bytes = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -197,12 +271,12 @@ def encode(docs: DataFrame, pieces: Pieces, id_column: str = "doc_id", text_colu
     whole.  Other columns are not read.  No rows: no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark, 1000)  # more words in a batch share more prefixes
+    small_batches(spark)
     given = spark.sparkContext.broadcast(pieces)  # as large as the vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(given.value)
-        for batch in batches:
+        for batch in gathered(batches):
             ids, counts = encoder(batch.column("text").to_pylist())
             offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
@@ -220,8 +294,7 @@ def decode(encoded: DataFrame, pieces: Pieces, id_column: str = "doc_id", ids_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ids")
-            flat, at = ids.values.to_numpy().tolist(), ids.offsets.to_numpy().tolist()
-            texts = [decode_ids(flat[a:b], given.value) for a, b in zip(at, at[1:], strict=False)]
+            texts = decode_ids(ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()), given.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     known = F.coalesce(F.col(ids_column).cast("array<int>"), F.array().cast("array<int>"))
