@@ -21,9 +21,10 @@ from vigilflow.llm.common import label_split, small_batches, texts_of
 from vigilflow.session import settle
 
 #: The training sample: confirmed toxic and unlabelled documents, at most; distinct features of a document that may be in it.
-POSITIVES, UNLABELLED, FEATURES_EACH = 2500, 4000, 10_000
-#: Features known to the model, at most, and the sampled texts in which one must stand.
-VOCABULARY, LEAST_TEXTS = 100_000, 10
+POSITIVES, UNLABELLED, FEATURES_EACH = 2500, 4000, 8_000
+#: Features known to the model, at most, and the sampled texts in which one must stand; features handled at once.
+VOCABULARY, LEAST_TEXTS = 60_000, 10
+BLOCK = 500_000
 STEPS, RATE, SPARSE = 300, 0.05, 0.08
 #: First letters of a word that are features beside the whole word: inflected forms share a stem.
 STEMS = (4, 6, 8)
@@ -62,8 +63,12 @@ def fit_features(kinds: np.ndarray, counts: np.ndarray, columns: np.ndarray, nam
     the number of each text's features, ``columns`` their numbers in a row.  Adam on
     the whole sample, with a penalty on the weights' absolute values.
     """
-    rows = np.repeat(np.arange(len(kinds)), counts)
     is_positive = kinds == 1
+    ends = np.cumsum(counts)
+    cuts = np.searchsorted(ends, np.arange(BLOCK, int(counts.sum()) + BLOCK, BLOCK)).tolist() if len(counts) else []
+    # texts and their features by blocks, so that a step's arrays stay small on the driver
+    parts = list(zip([0, *cuts], [*cuts, len(counts)], strict=True))
+    blocks = [(counts[i:j], columns[ends[i] - counts[i] : ends[j - 1]]) for i, j in parts if j > i]
     positives, others = max(int(is_positive.sum()), 1), max(int((~is_positive).sum()), 1)
     # about the noise of a useless feature's slope
     penalty = sparse * prior / np.sqrt(positives)
@@ -71,14 +76,17 @@ def fit_features(kinds: np.ndarray, counts: np.ndarray, columns: np.ndarray, nam
     theta[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        z = np.bincount(rows, theta[columns], len(kinds)) + theta[-1]
+        z = np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), theta[c], len(n)) for n, c in blocks]) + theta[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         negative = _softplus(z[~is_positive]).sum() / others - prior * _softplus(z[is_positive]).sum() / positives
         # slopes of the risk's two parts by z
         plus = np.where(is_positive, prior * (p - 1) / positives, 0.0)
         minus = np.where(is_positive, -prior * p / positives, p / others)
         gap = plus + minus if negative >= 0 else -minus
-        slope = np.concatenate([np.bincount(columns, gap[rows], len(names)), [gap.sum()]])
+        slope, at = np.append(np.zeros(len(names)), gap.sum()), 0
+        for n, c in blocks:
+            slope[:-1] += np.bincount(c, np.repeat(gap[at : at + len(n)], n), len(names))
+            at += len(n)
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         pace = rate / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -147,7 +155,7 @@ def fit(
     if not (kinds == 1).any() or not (kinds == 0).any():
         return Linear({}, 0.0, 0.0)
     counts = (got["features"].str.len() // 4).to_numpy(np.int64)
-    columns = np.frombuffer(b"".join(got["features"]), np.int32).astype(np.int64)
+    columns = np.frombuffer(b"".join(got["features"]), np.int32)
     return fit_features(kinds, counts, columns, names, float(prior), steps)
 
 
