@@ -113,20 +113,72 @@ def batch_result(t):
     return A.batch_result(json_batches(t))
 
 
+LABELLED_SQL = """SELECT flows.* EXCLUDE (captured_at), CASE trim(label) WHEN 'BENIGN' THEN 'BENIGN' WHEN 'Benign' THEN 'BENIGN' WHEN 'abnormal' THEN 'BENIGN' WHEN 'DoS Hulk' THEN 'DoS'
+      WHEN 'PortScan' THEN 'Port Scan' WHEN 'SSH-Patator' THEN 'Brute Force' WHEN 'Web Attack – XSS' THEN 'Web Attack' WHEN 'DDoS LOIC' THEN 'DDoS' WHEN 'Botnet' THEN 'Bot' ELSE 'Other Attack' END AS normalized_label,
+      CASE WHEN trim(label) IN ('BENIGN', 'Benign', 'abnormal') THEN 0 ELSE 1 END AS is_intrusion FROM flows"""
+SCALED = ("flow_duration", "total_fwd_packets", "total_backward_packets", "total_length_of_fwd_packets")
+
+
+def scaled_sql(c: str) -> str:
+    """A column clipped, filled and scaled by the statistics of its own row set."""
+    return f"""(least(greatest(coalesce({c}, {c}_m), CASE WHEN {c} IS NULL THEN {c}_m ELSE {c}_lo END), CASE WHEN {c} IS NULL THEN {c}_m ELSE {c}_hi END) - {c}_m)
+      / coalesce(nullif({c}_q3 - {c}_q1, 0), 1)"""
+
+
+FIT_SQL = ", ".join(
+    f"(SELECT median({c}) FROM u) AS {c}_m, (SELECT quantile_cont({c}, 0.0001) FROM u) AS {c}_lo, (SELECT quantile_cont({c}, 0.9999) FROM u) AS {c}_hi, "
+    f"(SELECT quantile_cont(coalesce({c}, (SELECT median({c}) FROM u)), 0.25) FROM u) AS {c}_q1, (SELECT quantile_cont(coalesce({c}, (SELECT median({c}) FROM u)), 0.75) FROM u) AS {c}_q3"
+    for c in SCALED
+)
+
+
 @query(
     "processed_dataset",
-    """SELECT normalized_label, is_intrusion, count(*) AS rows FROM (SELECT DISTINCT * FROM l) GROUP BY 1, 2""",
+    f"""SELECT normalized_label, is_intrusion, count(*) AS rows, {", ".join(f"round(sum({scaled_sql(c)}), 3) AS num__{c}" for c in SCALED)},
+      sum(CASE WHEN s = 'A' THEN 1.0::DOUBLE ELSE 0 END) AS cat__service_A, sum(CASE WHEN s = 'R' THEN 1.0::DOUBLE ELSE 0 END) AS cat__service_R
+    FROM (SELECT *, coalesce(service, (SELECT service FROM u WHERE service IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, service LIMIT 1)) AS s FROM (SELECT DISTINCT * FROM l)), f GROUP BY 1, 2""",
     "flows",
-    l="""SELECT flows.* EXCLUDE (captured_at), CASE trim(label) WHEN 'BENIGN' THEN 'BENIGN' WHEN 'Benign' THEN 'BENIGN' WHEN 'abnormal' THEN 'BENIGN' WHEN 'DoS Hulk' THEN 'DoS'
-      WHEN 'PortScan' THEN 'Port Scan' WHEN 'SSH-Patator' THEN 'Brute Force' WHEN 'Web Attack – XSS' THEN 'Web Attack' WHEN 'DDoS LOIC' THEN 'DDoS' WHEN 'Botnet' THEN 'Bot' ELSE 'Other Attack' END AS normalized_label,
-      CASE WHEN trim(label) IN ('BENIGN', 'Benign', 'abnormal') THEN 0 ELSE 1 END AS is_intrusion FROM flows""",
+    l=LABELLED_SQL,
+    u="SELECT DISTINCT * EXCLUDE (label, normalized_label, is_intrusion) FROM l",
+    f=f"SELECT {FIT_SQL}",
 )
 def processed_dataset(t):
     from vigilflow.plans import training
 
     path = scratch_path(t.spark, "processed")
     training.write_processed(t.domain.flows.drop("captured_at"), path)
-    return t.spark.read.parquet(path).groupBy("normalized_label", "is_intrusion").agg(F.count(F.lit(1)).alias("rows"))
+    matrix = t.spark.read.parquet(path)
+    sums = [F.round(F.sum(f"num__{c}"), 3).alias(f"num__{c}") for c in SCALED] + [F.sum(c).alias(c) for c in ("cat__service_A", "cat__service_R")]
+    return matrix.groupBy("normalized_label", "is_intrusion").agg(F.count(F.lit(1)).alias("rows"), *sums)
+
+
+METADATA_SQL = """SELECT 'flows' AS dataset_name, false AS is_sample_dataset, (SELECT count(*) FROM flows) AS original_row_count, n AS processed_row_count,
+      17 AS original_column_count, (SELECT count(*) FROM flows) - n AS duplicates_removed,
+      (SELECT count(*) FROM flows WHERE isinf(flow_bytes_per_s)) + (SELECT count(*) FROM flows WHERE down_per_up_ratio = 'Infinity') AS infinite_values_imputed,
+      'destination_ip,flow_id,source_ip,urg_flag_count' AS removed_columns, 'calc_avg_packet_size,calc_flow_bytes_per_s,calc_flow_packets_per_s,fwd_bwd_byte_ratio,fwd_bwd_packet_ratio,port_category,rst_ratio,syn_ratio,total_bytes,total_packets' AS engineered_features,
+      'calc_avg_packet_size,calc_flow_bytes_per_s,calc_flow_packets_per_s,destination_port,down_per_up_ratio,flow_bytes_per_s,flow_duration,fwd_bwd_byte_ratio,fwd_bwd_packet_ratio,protocol,rst_flag_count,rst_ratio,syn_flag_count,syn_ratio,total_backward_packets,total_bytes,total_fwd_packets,total_length_of_bwd_packets,total_length_of_fwd_packets,total_packets' AS fitted_numerical_features, 'port_category,service' AS fitted_categorical_features,
+      (SELECT string_agg(label || '=' || c || '/' || round(100.0 * c / (SELECT count(*) FROM flows) + 1e-9, 2), ';' ORDER BY label) FROM (SELECT label, count(*) AS c FROM flows GROUP BY 1)) AS label_distribution
+    FROM (SELECT count(*) AS n FROM (SELECT DISTINCT * EXCLUDE (captured_at) FROM flows))"""
+
+
+def metadata(t):
+    from vigilflow.plans import training
+
+    meta = training.dataset_metadata(t.domain.flows.drop("captured_at"), "flows", False)
+    text = lambda c: F.array_join(F.array_sort(c), ",")
+    entry = lambda e: F.concat(e["key"], F.lit("="), e["value"]["count"], F.lit("/"), e["value"]["percentage"])
+    return meta.select(
+        "dataset_name", "is_sample_dataset", "original_row_count", "processed_row_count", "original_column_count", "duplicates_removed", "infinite_values_imputed",
+        text(F.map_keys("removed_columns")).alias("removed_columns"),
+        *[text(c).alias(c) for c in ("engineered_features", "fitted_numerical_features", "fitted_categorical_features")],
+        F.array_join(F.transform(F.array_sort(F.map_entries("label_distribution")), entry), ";").alias("label_distribution"),
+    )
+
+
+@query("pipeline_metadata", METADATA_SQL, "flows")
+def pipeline_metadata(t):
+    """The governance record, field by field."""
+    return metadata(t)
 
 
 @query(
@@ -137,13 +189,7 @@ def processed_dataset(t):
     "flows",
 )
 def dataset_metadata(t):
-    from vigilflow.plans import training
-
-    meta = training.dataset_metadata(t.domain.flows.drop("captured_at"), "flows", False)
-    return meta.select(
-        "original_row_count", "processed_row_count", "original_column_count", "infinite_values_imputed",
-        F.array_join(F.array_sort(F.map_keys("removed_columns")), ",").alias("removed_columns"),
-    )
+    return metadata(t).select("original_row_count", "processed_row_count", "original_column_count", "infinite_values_imputed", "removed_columns")
 
 
 # --- cleaning ---------------------------------------------------------------------------

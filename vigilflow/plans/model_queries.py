@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from vigilflow import fixed_values as V
@@ -164,6 +165,35 @@ def isolation_forest_invariants(t):
     )
 
 
+#: A small forest, node by node: tree, node, feature, threshold, left, right, size, depth.
+SMALL_FOREST = [
+    (0, 0, 0, 0.0, 1, 2, 8, 0),
+    (0, 1, -1, 0.0, -1, -1, 5, 1),
+    (0, 2, 1, 0.1, 3, 4, 3, 1),
+    (0, 3, -1, 0.0, -1, -1, 1, 2),
+    (0, 4, -1, 0.0, -1, -1, 2, 2),
+    (1, 0, 1, -0.05, 1, 2, 8, 0),
+    (1, 1, -1, 0.0, -1, -1, 1, 1),
+    (1, 2, -1, 0.0, -1, -1, 7, 1),
+]
+MEAN_PATH = "CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1)::DOUBLE / {n} END"
+
+
+@query(
+    "isolation_forest_walk",
+    f"""SELECT id, decision < 0 AS is_anomaly, CASE WHEN decision < 0 THEN 'ANOMALOUS' ELSE 'NORMAL' END AS anomaly_label,
+      round(least(greatest(0.5 - 2 * decision, 0), 1), 4) AS anomaly_score, round(decision, 4) AS raw_decision_score
+    FROM (SELECT id, 0.5 - pow(2.0, -((d0 + {MEAN_PATH.format(n='n0')}) + (d1 + {MEAN_PATH.format(n='n1')})) / 2 / ({MEAN_PATH.format(n='8')})) AS decision FROM w)""",
+    w="""SELECT vec_id AS id, CASE WHEN embedding[1] <= 0 THEN 1 ELSE 2 END AS d0, CASE WHEN embedding[1] <= 0 THEN 5 WHEN embedding[2] <= 0.1::DOUBLE THEN 1 ELSE 2 END AS n0,
+      1 AS d1, CASE WHEN embedding[2] <= -0.05::DOUBLE THEN 1 ELSE 7 END AS n1 FROM embeddings""",
+)
+def isolation_forest_walk(t):
+    """Scores by a known forest, so that every value can be held against SQL."""
+    nodes = pd.DataFrame(SMALL_FOREST, columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
+    model = isolation.IsolationModel(["v0", "v1"], nodes, 8)
+    return isolation.score(vectors(t), model).select("id", "is_anomaly", "anomaly_label", "anomaly_score", "raw_decision_score")
+
+
 @query("random_forest_fit")
 def random_forest_fit(t):
     model = forest.fit(vectors(t), VECTOR, "label")
@@ -245,6 +275,21 @@ def model_catalog(t):
     return models.catalog(t.spark)
 
 
+@query(
+    "model_catalog_counts",
+    """SELECT '1.0.0' AS model_version, (SELECT count(*) - ceil(count(*) * 0.3::DOUBLE)::BIGINT FROM embeddings) AS train_samples, (SELECT ceil(count(*) * 0.3::DOUBLE)::BIGINT FROM embeddings) AS test_samples,
+      true AS stratified, 64 AS total_features, (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT DISTINCT 'class' || label AS c FROM embeddings)) AS classes,
+      150 AS anomaly_trees, 256 AS anomaly_sample, 0.05::DOUBLE AS anomaly_contamination, 100 AS classifier_trees, 16 AS classifier_depth, 42 AS random_state,
+      (SELECT ceil(count(*) * 0.3::DOUBLE)::BIGINT FROM embeddings)::DOUBLE AS sample_count""",
+)
+def model_catalog_counts(t):
+    """What of the catalog follows from the data and the settings."""
+    return model_catalog(t).select(
+        "model_version", "train_samples", "test_samples", "stratified", "total_features", "classes", "anomaly_trees", "anomaly_sample", "anomaly_contamination",
+        "classifier_trees", "classifier_depth", "random_state", "sample_count",
+    )
+
+
 @query("model_artifacts", "SELECT vec_id AS id, true AS same_score, true AS same_class FROM embeddings")
 def model_artifacts(t):
     """Saved and loaded models must score alike."""
