@@ -31,7 +31,7 @@ def test_one_scan_per_table(spark, name, scans):
     assert plan(spark, name).count("FileScan") == scans
 
 
-@pytest.mark.parametrize("name", ["hunt_predictions", "predictions_page", "alerts_csv"])
+@pytest.mark.parametrize("name", ["hunt_predictions", "predictions_page", "snapshot_top"])
 def test_pages_are_top_k(spark, name):
     assert "TakeOrderedAndProject" in plan(spark, name)
 
