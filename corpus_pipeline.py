@@ -37,14 +37,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked fingerprints the document with the smallest id.
 
-    Of rows that repeat the same kept id one stays.
+    Rows that repeat an id are one document: it stays if one of them does, and one
+    of them stays.
     """
-    found = simhash.near_duplicates(docs, shingle=4, distance=4)
-    kept = settle(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    rows = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if not kept.filter("n > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    found = simhash.near_duplicates(docs, shingle=4, distance=4).filter("doc_id is not null")
+    judged = settle(found.groupBy("doc_id").agg(F.max(F.expr("doc_id = component_id")).alias("stays"), F.count(F.lit(1)).alias("n")), "judged")
+    gone = lookup(settle(judged.filter("not stays").select(F.col("doc_id").alias("copy")), "copies"))
+    rows = docs.join(gone, docs["doc_id"] == gone["copy"], "left_anti")
+    if judged.filter("stays and n > 1").isEmpty():
+        return rows
+    return rows.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
