@@ -28,9 +28,9 @@ from vigilflow.llm.common import small_batches, texts_of
 MARK = "▁"
 WORDS = re.compile(" +[^ ]*")
 #: Words that a Python worker remembers between batches.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Bytes of text whose words are segmented together.
-TOGETHER = 8_000_000
+TOGETHER = 4_000_000
 
 
 #: Stands for a word's begin, and for a character that is no piece: nothing merges with either.
