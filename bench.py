@@ -24,7 +24,7 @@ report_summary incidents_csv incident_evidence
 clean_infinite normalize_labels flow_rates conn_per_destination exact_dedup
 quantile_bounds robust_scale train_test_split profile_numeric profile_categorical
 classifier_metrics risk_triage risk_reasons scrub_details leak_scan stream_timeline lifecycle_stream
-isolation_forest_score
+isolation_forest_score random_forest_score processed_dataset stream_score incident_detail dataset_json_export
 """.split()
 
 
