@@ -88,6 +88,17 @@ def test_corrected_risk_finds_positives_among_unlabelled():
     assert model.score("nasty w1 w2") > 0.5 > model.score("w1 w2")
 
 
+def test_fit_numbers_features_and_follows_the_size_of_the_sample(spark, monkeypatch):
+    """The fit on numbered features is the one that runs; a word in six of sixty texts is learned."""
+    docs = documents(spark, [(i, f"plain words of text {i} here" + (" vile" if i < 6 else ""), "a") for i in range(60)])
+    labels = spark.createDataFrame([(i, 1, int(i < 6)) for i in range(60)], "doc_id long, quality int, toxic int")
+    calls, fit_features = [], pu_toxicity.fit_features
+    monkeypatch.setattr(pu_toxicity, "fit_features", lambda *a: calls.append(a) or fit_features(*a))
+    model = pu_toxicity.fit(docs, labels, parts=60, held=61)
+    assert len(calls) == 1 and calls[0][2].dtype == np.int32 and "plain" in calls[0][3]
+    assert model.weights["vile"] > 0 and model.score("plain words vile") > model.score("plain words")
+
+
 def test_awkward_rows(spark):
     docs = documents(spark, AWKWARD)
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 1), (2, 0, None), (None, 1, 1), (5, 0, 1), (99, 1, 0)], "doc_id long, quality int, toxic int")

@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, functions as F
 from vigilflow.llm.common import label_split, small_batches, texts_of
 from vigilflow.session import settle
 
-#: The training sample: confirmed toxic and unlabelled documents, at most; distinct features of a document that may be in it.
-POSITIVES, UNLABELLED, FEATURES_EACH = 2500, 4000, 8_000
-#: Features known to the model, at most, and the sampled texts in which one must stand; features handled at once.
-VOCABULARY, LEAST_TEXTS = 60_000, 10
+#: The training sample: confirmed toxic and unlabelled documents, at most; known features of a document that may be in it.
+POSITIVES, UNLABELLED, FEATURES_EACH = 3000, 6000, 10_000
+#: Features known to the model, at most, and the share of the sampled texts in which one must stand, in two at least; features handled at once.
+VOCABULARY, LEAST_SHARE = 100_000, 1 / 900
 BLOCK = 500_000
 STEPS, RATE, SPARSE = 300, 0.05, 0.08
 #: First letters of a word that are features beside the whole word: inflected forms share a stem.
@@ -112,14 +112,15 @@ def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str
 
 def _vocabulary(sample: DataFrame) -> list[str]:
     """The features that stand in the most sampled texts."""
+    least = max(2, round(sample.count() * LEAST_SHARE))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             seen = Counter(f for t in frame["text"] for f in features_of(t))
-            yield pd.DataFrame({"feature": list(seen), "n": list(seen.values())})
+            yield pd.DataFrame({"feature": pd.Series(list(seen), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
 
     counted = sample.mapInPandas(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    top = counted.filter(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "feature").limit(VOCABULARY)
+    top = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(VOCABULARY)
     return [r.feature for r in top.select("feature").toLocalIterator()]
 
 
@@ -159,92 +160,6 @@ def fit(
     return fit_features(kinds, counts, columns, names, float(prior), steps)
 
 
-def score(self, text: str) -> float:
-        if self.constant is not None:
-            return self.constant
-        found = sorted(features_of(text) & self.weights.keys())  # in a fixed order, for equal sums
-        return float(1 / (1 + np.exp(-np.clip(self.bias + sum(map(self.weights.__getitem__, found)), -50, 50))))
-
-
-def _softplus(z: np.ndarray) -> np.ndarray:
-    return np.logaddexp(0, z)
-
-
-def fit_words(positive: list[list[str]], unlabelled: list[list[str]], prior: float, steps: int = STEPS, rate: float = RATE, sparse: float = SPARSE) -> Linear:
-    """Minimises prior * R+(P) + max(0, R-(U) - prior * R-(P)) with the logistic loss.
-
-    Adam on the whole sample, with a penalty on the weights' absolute values.
-    """
-    texts = positive + unlabelled
-    seen = Counter(w for t in texts for w in t)
-    known = sorted((w for w, n in seen.items() if n >= LEAST_TEXTS), key=lambda w: (-seen[w], w))[:VOCABULARY]
-    number = {w: i for i, w in enumerate(known)}
-    places = [np.array([number[w] for w in t if w in number], np.int64) for t in texts]
-    counts = np.array([len(p) for p in places])
-    columns = np.concatenate([*places, np.zeros(0, np.int64)])
-    rows = np.repeat(np.arange(len(texts)), counts)
-    is_positive = np.arange(len(texts)) < len(positive)
-    # about the noise of a useless feature's slope
-    penalty = sparse * prior / np.sqrt(max(len(positive), 1))
-    theta = np.zeros(len(known) + 1)
-    theta[-1] = np.log(prior / (1 - prior))
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, steps + 1):
-        z = np.bincount(rows, theta[columns], len(texts)) + theta[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        negative = _softplus(z[~is_positive]).mean() - prior * _softplus(z[is_positive]).mean()
-        # slopes of the risk's two parts by z
-        plus = np.where(is_positive, prior * (p - 1) / len(positive), 0.0)
-        minus = np.where(is_positive, -prior * p / len(positive), p / max(len(unlabelled), 1))
-        gap = plus + minus if negative >= 0 else -minus
-        slope = np.concatenate([np.bincount(columns, gap[rows], len(known)), [gap.sum()]])
-        first = 0.9 * first + 0.1 * slope
-        second = 0.999 * second + 0.001 * slope**2
-        pace = rate / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        theta = theta - pace * first / (1 - 0.9**step)
-        # the step of the absolute weights' penalty: small ones become 0, or long texts would gather thousands of them
-        theta[:-1] = np.sign(theta[:-1]) * np.maximum(np.abs(theta[:-1]) - pace[:-1] * penalty, 0)
-    return Linear({w: float(v) for w, v in zip(known, theta[:-1], strict=True) if abs(v) > 1e-3}, float(theta[-1]))
-
-
-def fit(
-    docs: DataFrame, labels: DataFrame, prior: float | None = None, id_column: str = "doc_id", text_column: str = "text", parts: int = 5, held: int = 0,
-    positives: int = POSITIVES, unlabelled: int = UNLABELLED, steps: int = STEPS,
-) -> Linear:
-    """Learns from bounded samples: documents labelled toxic (``labels``: doc_id, toxic) and documents whatever their label.
-
-    Neither sample holds held-out documents.  ``prior`` is the share of toxic
-    documents; if it is not given, their share among the labelled ones that are not
-    held out.  Without toxic or without other documents the score is constant: 0.
-    """
-    small_batches(docs.sparkSession)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
-    known = known.filter(~label_split(F.col("doc_id"), parts, held)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id", F.lit(11)), F.col("doc_id")]
-    if prior is None:
-        prior = known.agg(F.avg("toxic")).first()[0]
-    if not prior or prior >= 1:
-        return Linear({}, 0.0, 0.0)
-    toxic = known.filter("toxic = 1").orderBy(*order).limit(positives).select("doc_id", F.lit(1).alias("kind"))
-    # confirmed toxic texts that are not in the first sample may be in this one: it stands for the whole corpus
-    ids = docs.select(F.col(id_column).cast("long").alias("doc_id")).filter("doc_id is not null")
-    ids = ids.filter(~label_split(F.col("doc_id"), parts, held)).distinct()
-    others = ids.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(unlabelled).select("doc_id", F.lit(0).alias("kind"))
-    chosen = F.broadcast(toxic.unionByName(others))  # bounded by the two limits
-    texts = texts_of(docs, id_column, text_column).join(chosen, "doc_id").select("kind", "text")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [features_of(t) for t in frame["text"]]
-            yield pd.DataFrame({"kind": frame["kind"], "words": [" ".join(sorted(w)) if len(w) <= FEATURES_EACH else None for w in found]})
-
-    got = texts.mapInPandas(run, "kind int, words string").toPandas().dropna().sort_values(["kind", "words"], kind="stable")
-    sides = [[w.split() for w in got.loc[got["kind"] == k, "words"]] for k in (1, 0)]
-    if not sides[0] or not sides[1]:
-        return Linear({}, 0.0, 0.0)
-    return fit_words(*sides, float(prior), steps)
-
-
 def score(docs: DataFrame, model: Linear, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, score`` for every row: 0 to 1, higher for texts more likely toxic.
 
