@@ -50,10 +50,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a verified overlap with a benchmark item; those without id are judged together."""
-    found = spaced_seeds.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+    """The rows whose own text has no verified overlap with a benchmark item, whatever their ids."""
+    key = "row"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    # written, for a task that runs again may number its rows otherwise
+    rows = settle(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = spaced_seeds.contaminated(rows, read_table(spark, sf_dir, "benchmark"), id_column=key)
     leaks = lookup(settle(found.select(F.col("doc_id").alias("leak")), "leaks"))
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak"]), "left_anti")
+    return rows.join(leaks, rows[key] == leaks["leak"], "left_anti").drop(key)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

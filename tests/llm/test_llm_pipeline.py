@@ -62,6 +62,13 @@ def test_leaks_go(spark, folder):
     assert 300 not in kept and 301 not in kept and len(kept) == docs.count() - 2
 
 
+def test_leaks_go_by_row_not_by_id(spark, folder):
+    rows = [(None, ITEM, "a"), (None, "clean words without an id", "b"), (7, "first " + ITEM, "c"), (7, "clean words of the same id", "d"), (8, "other clean words", "e")]
+    docs = documents(spark, rows)
+    kept = [(r.doc_id, r.text) for r in stage("decontaminate", spark, docs, folder).collect()]
+    assert sorted(kept, key=str) == sorted([rows[i][:2] for i in (1, 3, 4)], key=str)
+
+
 def test_run_equals_the_stages_one_by_one(spark, folder):
     rows = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect() if r.doc_id is not None}
     assert set(range(101, 160)) <= set(rows) and not {300, 301, 302} & set(rows)
