@@ -19,6 +19,11 @@ from vigilflow.llm.queries import GOOD, MODEL
 from vigilflow.session import scratch_path, settle
 from vigilflow.sources.tables import read_table
 
+#: Sources from which a long line is boilerplate: fewer than shorter lines need, for a passage on a dozen documents may
+#: stand on half as many sources if one has most rows, but more than the small groups of copied documents reach, of
+#: which the near-duplicate stage shall keep one whole.
+LONG_SITES = 4
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line CRF scores at least ``GOOD``; it learns from labelled documents that are not held out."""
@@ -27,9 +32,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that stand on ten or more sources; ``n_chars`` is counted anew."""
+    """All documents, without the lines that stand on ten or more sources, or, if long, on ``LONG_SITES``; ``n_chars`` is counted anew."""
     other = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = line_spread.remove_spread_lines(docs, carry=other)
+    found = line_spread.remove_spread_lines(docs, carry=other, long_sites=LONG_SITES)
     made = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return found.select(*[made[c].alias(c) if c in made else F.col(f"carried.`{c}`").alias(c) for c in docs.columns])
 

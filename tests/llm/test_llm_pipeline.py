@@ -49,6 +49,16 @@ def test_lines_take_out_the_footer(spark, folder):
     assert len(rows) == 60 and all("footer" not in r.text and r.n_chars == len(r.text) and r.text.startswith("A plain") for r in rows.values())
 
 
+def test_lines_take_out_long_passages_despite_a_hot_source(spark, folder):
+    """A passage of 60 words in 12 documents, a third of them of one source; a text copied to three sources stays whole."""
+    passage = " ".join(f"passage{i}" for i in range(60))
+    copied = " ".join(f"copied{i}" for i in range(60))
+    sources = ["hot"] * 4 + ["s1", "s2", "s3", "s4", "s5", "s1", "s2", "s3"]
+    rows = [(i, f"Own line {i}.\n{passage}\nA short line.", s) for i, s in enumerate(sources)] + [(20 + i, copied, f"s{i}") for i in range(3)]
+    found = {r.doc_id: r.text for r in stage("lines", spark, documents(spark, rows), folder).collect()}
+    assert found == {i: f"Own line {i}.\nA short line." for i in range(12)} | {20 + i: copied for i in range(3)}
+
+
 def test_one_of_each_group_stays(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = [r.doc_id for r in stage("near_duplicates", spark, docs, folder).select("doc_id").collect()]

@@ -15,6 +15,8 @@ from vigilflow.session import settle
 #: log2 of the registers of a sketch, and the relative distance from the threshold within which lines are
 #: counted exactly: over six standard errors of such a sketch (1.04 / sqrt(2^12) = 1.6 %).
 LG_K, MARGIN = 12, 0.1
+#: Words from which a line counts as long: two sites hardly write the same one on their own.
+LONG_WORDS = 40
 
 
 def line_key(line: Column) -> Column:
@@ -23,15 +25,17 @@ def line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
 
 
-def _lines(texts: DataFrame, *more: str) -> DataFrame:
+def _lines(texts: DataFrame, *more: str, least_words: int = 0) -> DataFrame:
     lines = texts.select(F.explode(F.split("text", "\n")).alias("line"), *more).filter(F.trim("line") != "")
+    if least_words:
+        lines = lines.filter((F.length("line") >= 2 * least_words - 1) & (F.size(F.split(F.trim("line"), r"\s+")) >= least_words))
     return lines.select(line_key(F.col("line")).alias("key"), *more).select("key.h1", "key.h2", *more)
 
 
-def spread_lines(docs: DataFrame, min_sites: int, text_column: str = "text", site_column: str = "source", lg_k: int = LG_K, margin: float = MARGIN) -> DataFrame:
-    """Keys ``(h1, h2)`` of the lines that stand on at least ``min_sites`` sites; null is no site."""
+def spread_lines(docs: DataFrame, min_sites: int, text_column: str = "text", site_column: str = "source", lg_k: int = LG_K, margin: float = MARGIN, least_words: int = 0) -> DataFrame:
+    """Keys ``(h1, h2)`` of the lines of at least ``least_words`` words that stand on at least ``min_sites`` sites; null is no site."""
     texts = docs.select(F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), F.col(site_column).cast("string").alias("site"))
-    lines = _lines(texts, "site").filter(F.col("site").isNotNull())
+    lines = _lines(texts, "site", least_words=least_words).filter(F.col("site").isNotNull())
     sketched = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
     # a line cannot stand on more sites than it has occurrences
     spread = settle(
@@ -53,10 +57,11 @@ def spread_lines(docs: DataFrame, min_sites: int, text_column: str = "text", sit
 
 def remove_spread_lines(
     docs: DataFrame, min_sites: int = 10, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source",
-    lg_k: int = LG_K, margin: float = MARGIN, carry: tuple[str, ...] = (),
+    lg_k: int = LG_K, margin: float = MARGIN, carry: tuple[str, ...] = (), long_sites: int | None = None, long_words: int = LONG_WORDS,
 ) -> DataFrame:
     """``doc_id, n_lines, n_removed, text`` for every row, the text without the lines on ``min_sites`` or more sites.
 
+    With ``long_sites``, lines of at least ``long_words`` words are taken out from that many sites on.
     The columns named in ``carry`` come along in a struct column ``carried``, where no name can clash.
 
     Lines are equal if they are so without outer blanks; blank lines are kept.
@@ -66,6 +71,8 @@ def remove_spread_lines(
     Other columns are not read.  No rows: no rows.
     """
     spread = spread_lines(docs, min_sites, text_column, site_column, lg_k, margin)
+    if long_sites is not None:
+        spread = spread.unionByName(spread_lines(docs, long_sites, text_column, site_column, lg_k, margin, long_words)).distinct()
     texts = texts_of(docs, id_column, text_column, *([F.struct(*carry).alias("carried")] if carry else []))
     # by the text's own hash, not by id: rows without or with a shared id are no matter, and a copied text is looked up once
     name = F.struct(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
