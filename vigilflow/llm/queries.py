@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilflow.llm import licenses, line_crf, line_spread, piece_viterbi, pivot_index, pu_toxicity, secret_links, simhash, spaced_seeds, warc
+from vigilflow.llm import (
+    collocations, divergence, licenses, line_crf, line_spread, piece_viterbi, pivot_index, pu_toxicity, rule_ledger, secret_links, simhash, spaced_seeds, warc,
+)
 from vigilflow.llm.common import label_split
 from vigilflow.llm.sql import ORACLES  # noqa: F401
 from vigilflow.session import scratch_path
@@ -88,6 +90,18 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(read_table(spark, folder, "documents"))
+
+
+def op12_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return rule_ledger.verdicts(rule_ledger.ledger(read_table(spark, folder, "documents")))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_line_crf": op1_line_crf,
     "op2_secret_links": op2_secret_links,
@@ -99,4 +113,7 @@ QUERIES = {
     "op8_spaced_seeds": op8_spaced_seeds,
     "op9_piece_viterbi": op9_piece_viterbi,
     "op10_warc": op10_warc,
+    "op11_divergence": op11_divergence,
+    "op12_rule_ledger": op12_rule_ledger,
+    "op13_collocations": op13_collocations,
 }

@@ -168,6 +168,79 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
   CASE WHEN page_id <> response THEN response END AS refers_to
 FROM r"""
 
+
+_DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+t AS (SELECT row, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+seen AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sums AS (SELECT lang, source, sum(c) AS total FROM seen GROUP BY ALL),
+cells AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c, 0) AS c,
+    1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (coalesce(sums.total, 0) + sizes.v)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (kept.n + 1)) // (sizes.total + sizes.v)::HUGEINT AS q
+  FROM g JOIN kept USING (lang) JOIN sizes USING (lang) LEFT JOIN sums USING (lang, source) LEFT JOIN seen ON seen.lang = g.lang AND seen.source = g.source AND seen.term = kept.term),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM cells WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
+_LEDGER = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (
+  SELECT row, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
+windows AS (SELECT row, i, array_to_string(w[i:i + 7], ' ') AS key FROM (SELECT row, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+again AS (SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY row, key) > 1),
+repeats AS (SELECT row, count(DISTINCT i + k) AS n_repeat_words FROM again, range(8) AS r(k) GROUP BY row),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, list_sum([length(x) for x in w])::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    len([x for x in w if regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]')]) AS letters,
+    len([x for x in w if regexp_matches(x, '[A-Z].*[A-Z]') AND NOT regexp_matches(x, '[a-z]|[^\x00-\x7F]')]) AS upper,
+    len(regexp_extract_all(text, '!!')) + len(regexp_extract_all(text, '\?\?')) AS shouts
+  FROM d LEFT JOIN lines USING (row) LEFT JOIN repeats USING (row)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words OR word_chars > 12 * n_words
+    OR letters * 100 < 50 * n_words OR upper * 100 > 30 * n_words OR shouts * 10 > n_words) AS kept
+FROM b"""
+
+
+_COLLOCATIONS = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+grams AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS size) WHERE len(w) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a FROM f WHERE size > 1 AND f >= 100),
+cut AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM c),
+scored AS (
+  SELECT cut.lang, cut.size, cut.phrase, a, k, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM cut JOIN totals ON totals.lang = cut.lang
+  JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+alone AS (
+  SELECT * FROM best b
+  WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.lang = b.lang AND o.size > b.size AND 100 * o.a >= 100 * b.a AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM alone QUALIFY rank <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op2_secret_links": _secret_sql(),
     "op3_line_spread": _LINES,
@@ -175,4 +248,7 @@ ORACLES: dict[str, str] = {
     "op7_pivot_index": _VECTORS,
     "op8_spaced_seeds": _seed_sql(),
     "op10_warc": _WARC,
+    "op11_divergence": _DIVERGENCE,
+    "op12_rule_ledger": _LEDGER,
+    "op13_collocations": _COLLOCATIONS,
 }
