@@ -46,24 +46,40 @@ def test_spans_of_awkward_rows(spark):
     assert secret_links.scan(documents(spark, [])).count() == 0
 
 
+def test_long_runs_of_every_pattern(spark):
+    """A megabyte of each unit: searched whole, with the spans of Python's regular expressions."""
+    units = [".a", "a@", "@a.b", "9", "1.", "\"'", "password ", "token=", "https://", "a.b@c.d,", "AKIA", "f", "aA1+", "password=abcdef "]
+    texts = ["x@a" + ".a" * 500_000, *(u * (1_000_000 // len(u)) for u in units)]
+    rows = secret_links.scan(documents(spark, [(i, t, "a") for i, t in enumerate(texts)]).repartition(8)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        for i, k in enumerate(secret_links.KINDS):
+            if k.strong:
+                whole = [(m.start(), m.end()) for m in re.finditer(k.pattern, texts[r.doc_id]) if len(m.group(k.value)) >= k.least]
+                assert [(s.start, s.end) for s in r.spans if s.kind == i] == whole
+
+
+BLANKS = " \t\r\f\v"
+
+
 def boilerplate(rows, least):
     sites = {}
     for _, text, site in rows:
         for line in (text or "").split("\n"):
-            if line.strip(" ") and site is not None:
-                sites.setdefault(line.strip(" "), set()).add(site)
+            if line.strip(BLANKS) and site is not None:
+                sites.setdefault(line.strip(BLANKS), set()).add(site)
     return {line for line, s in sites.items() if len(s) >= least}
 
 
 @pytest.mark.parametrize("least", [1, 2, 10])
 def test_line_spread_equals_brute_force(spark, least):
     rng = random.Random(least)
-    lines = [f"line {i}" for i in range(30)] + ["", "  padded", "padded  "]
+    lines = [f"line {i}" for i in range(30)] + ["", "  padded", "padded  ", "padded\r", "\tpadded \r", "\r", "\t"]
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 6))), rng.choice([*"abcdefghijklmnop", None])) for i in range(200)]
     gone = boilerplate(rows, least)
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_spread.remove_spread_lines(documents(spark, rows), least).collect()}
     for i, text, _ in rows:
-        kept = [line for line in text.split("\n") if line.strip(" ") not in gone]
+        kept = [line for line in text.split("\n") if line.strip(BLANKS) not in gone]
         assert got[i] == (text.count("\n") + 1, text.count("\n") + 1 - len(kept), "\n".join(kept))
 
 

@@ -19,16 +19,25 @@ LG_K, MARGIN = 12, 0.1
 LONG_WORDS = 40
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def bare(line: Column) -> Column:
+    """The line without outer blanks, tabs, carriage returns, form feeds and vertical tabs."""
+    return F.btrim(line, F.lit(" \t\r\f\v"))
+
+
 def line_key(line: Column) -> Column:
     """128 bits of the line without outer white space: two XXH64 under different seeds."""
-    line = F.trim(line)
+    line = bare(line)
     return F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
 
 
 def _lines(texts: DataFrame, *more: str, least_words: int = 0) -> DataFrame:
-    lines = texts.select(F.explode(F.split("text", "\n")).alias("line"), *more).filter(F.trim("line") != "")
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("line"), *more).filter(bare(F.col("line")) != "")
     if least_words:
-        lines = lines.filter((F.length("line") >= 2 * least_words - 1) & (F.size(F.split(F.trim("line"), r"\s+")) >= least_words))
+        lines = lines.filter((F.length("line") >= 2 * least_words - 1) & (F.size(F.split(bare(F.col("line")), r"\s+")) >= least_words))
     return lines.select(line_key(F.col("line")).alias("key"), *more).select("key.h1", "key.h2", *more)
 
 
@@ -64,7 +73,7 @@ def remove_spread_lines(
     With ``long_sites``, lines of at least ``long_words`` words are taken out from that many sites on.
     The columns named in ``carry`` come along in a struct column ``carried``, where no name can clash.
 
-    Lines are equal if they are so without outer blanks; blank lines are kept.
+    Lines are equal if they are so without outer white space; blank lines are kept.
     A null text is an empty one (one blank line).  A null site counts for no
     line, but lines of such rows are removed like others.  Repeated rows and rows
     without id are treated each for itself.  Texts of any length are read whole.
@@ -73,7 +82,7 @@ def remove_spread_lines(
     spread = spread_lines(docs, min_sites, text_column, site_column, lg_k, margin)
     if long_sites is not None:
         spread = spread.unionByName(spread_lines(docs, long_sites, text_column, site_column, lg_k, margin, long_words)).distinct()
-    texts = texts_of(docs, id_column, text_column, *([F.struct(*carry).alias("carried")] if carry else []))
+    texts = texts_of(docs, id_column, text_column, *([F.struct(*[F.col(_quoted(c)).alias(c) for c in carry]).alias("carried")] if carry else []))
     # by the text's own hash, not by id: rows without or with a shared id are no matter, and a copied text is looked up once
     name = F.struct(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
     hits = (
@@ -84,7 +93,7 @@ def remove_spread_lines(
     hits = settle(hits, "hits")  # a plain shuffle on both sides of the next join, whose hot texts Spark can then split
     named = texts.withColumn("t", name).select("*", "t.t1", "t.t2").join(hits, ["t1", "t2"], "left")
     lines = F.split("text", "\n")
-    keep = F.filter(lines, lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("gone"), line_key(line)))
+    keep = F.filter(lines, lambda line: (bare(line) == "") | ~F.array_contains(F.col("gone"), line_key(line)))
     kept = F.when(F.col("gone").isNull(), lines).otherwise(keep)
     return named.select(
         "doc_id",

@@ -37,10 +37,11 @@ STRONG = (
     Kind("access", r"AKIA[A-Z0-9]{16,}", "identifier", True),
     Kind("hex", r"[0-9a-f]{24,}", "secret", True),
 )
-#: Weak candidates.  Possessive runs that begin where the run begins keep the e-mail pattern linear on long texts.
+#: Weak candidates.  Possessive runs that begin where the run begins keep the e-mail pattern linear on long texts, and a
+#: possessive group keeps Java's stack flat: a greedy one recurses once per repeat.
 WEAK = (
     Kind("account", r"""(?i:(user|username|login|account|client_id|access_key_id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]+)""", "identifier", False, 2, 3),
-    Kind("email", r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+", "identifier", False),
+    Kind("email", r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "identifier", False),
     Kind("key40", r"[A-Za-z0-9+/]{40,}", "secret", False, 0, 40, 40, ("[A-Z]", "[a-z]", "[0-9+/]")),
     Kind("url", r"""https?://[^\s"'<>]+""", "endpoint", False),
     Kind("host", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?", "endpoint", False),
@@ -59,17 +60,16 @@ def _parts(kind: Kind) -> Column:
     pattern, whole = F.lit(kind.pattern), F.col(f"m_{kind.name}")
     value = F.regexp_extract_all("text", pattern, F.lit(kind.value)) if kind.value else whole
     gaps = F.transform(F.split("text", kind.pattern, -1), F.length)
+    # put side by side before they are looked through: within the function of each match they would be made anew for it
+    zipped = F.slice(F.arrays_zip(whole.alias("match"), value.alias("held"), gaps.alias("gap")), F.lit(1), F.size(whole))
 
-    def part(match: Column, i: Column) -> Column:
-        held = F.get(value, i)
-        ok = F.length(held).between(kind.least, kind.most)
+    def part(m: Column) -> Column:
+        ok = F.length(m["held"]).between(kind.least, kind.most)
         for pattern in kind.holds:
-            ok = ok & F.regexp(held, F.lit(pattern))
-        return F.struct(F.get(gaps, i).alias("gap"), F.length(match).alias("n"), ok.alias("ok"))
+            ok = ok & F.regexp(m["held"], F.lit(pattern))
+        return F.struct(m["gap"].alias("gap"), F.length(m["match"]).alias("n"), ok.alias("ok"))
 
-    if not kind.value and not kind.holds and not kind.least:
-        part = lambda match, i: F.struct(F.get(gaps, i).alias("gap"), F.length(match).alias("n"), F.lit(True).alias("ok"))
-    return F.when(F.size(whole) > 0, F.transform(whole, part).cast(f"array<{_PART}>")).otherwise(F.array().cast(f"array<{_PART}>"))
+    return F.when(F.size(whole) > 0, F.transform(zipped, part).cast(f"array<{_PART}>")).otherwise(F.array().cast(f"array<{_PART}>"))
 
 
 def _spans(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:

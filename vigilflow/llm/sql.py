@@ -64,9 +64,9 @@ FROM d LEFT JOIN listed USING (doc_id)"""
 
 _LINES = """
 WITH each AS (
-  SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-spread AS (SELECT trim(line) AS line FROM each WHERE trim(line) <> '' GROUP BY trim(line) HAVING count(DISTINCT source) >= 10),
-marked AS (SELECT doc_id, line, i, trim(line) IN (SELECT line FROM spread) AS gone FROM each)
+  SELECT doc_id, source, ' ' || chr(9) || chr(11) || chr(12) || chr(13) AS b, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+spread AS (SELECT trim(line, b) AS line FROM each WHERE trim(line, b) <> '' GROUP BY trim(line, b) HAVING count(DISTINCT source) >= 10),
+marked AS (SELECT doc_id, line, i, trim(line, b) IN (SELECT line FROM spread) AS gone FROM each)
 SELECT doc_id, count(*)::INTEGER AS n_lines, (count(*) FILTER (gone))::INTEGER AS n_removed,
   coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
 FROM marked GROUP BY doc_id"""
