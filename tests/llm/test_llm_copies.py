@@ -155,7 +155,9 @@ def test_round_trip_of_awkward_rows(spark):
     pieces = piece_viterbi.load(MODEL)
     rows = piece_viterbi.decode(piece_viterbi.encode(documents(spark, AWKWARD), pieces), pieces).collect()
     assert sorted((str(r.doc_id), r.text) for r in rows) == sorted((str(i), t or "") for i, t, _ in AWKWARD)
-    assert piece_viterbi.encode(documents(spark, []), pieces).count() == 0
+    assert piece_viterbi.encode(documents(spark, []), pieces).count() == piece_viterbi.encode_and_decode(documents(spark, []), pieces).count() == 0
+    both = piece_viterbi.encode_and_decode(documents(spark, AWKWARD), pieces).collect()
+    assert sorted((str(r.doc_id), r.n_ids, r.text) for r in both) == sorted((str(r.doc_id), len(r.ids), r.text) for r in rows)
     nulls = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert {r.text for r in piece_viterbi.decode(nulls, pieces).collect()} == {""}
 
@@ -167,6 +169,34 @@ def test_words_are_remembered_up_to_a_bound():
         assert encoder(["the cat sat on the mat", "on a hill"])[0].tolist() == first
 
 
+@pytest.mark.parametrize("text", ["漢字" * 20_000, "aB3/" * 5_000, "x" * 30_000, "a\n" * 10_000])
+def test_long_words_without_blanks(text):
+    """Memory in proportion to the word's length, the library's ids, and prefixes beyond the stack shared by several words."""
+    import tracemalloc
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    encoder = piece_viterbi.Encoder(piece_viterbi.load(MODEL))
+    texts = [text, text[:-1] + "!", text[: len(text) // 2] + " " + text[:70]]
+    tracemalloc.start()
+    ids, counts = encoder(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for own, given in zip(np.split(ids, np.cumsum(counts)[:-1]), texts, strict=True):
+        assert own.tolist() == library.encode(given)
+    assert peak < 1000 * len(text) and encoder.held < 100_000
+
+
+def test_stretches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    texts = ["a" * n for n in (3, 50, 1, 1, 1, 0, 7, 12)] + [None]
+    batches = [pa.RecordBatch.from_pydict({"text": texts[:5]}), pa.RecordBatch.from_pydict({"text": texts[5:]}), pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())})]
+    parts = [b.column("text").to_pylist() for b in piece_viterbi._stretches(iter(batches), 10)]
+    assert sum(parts, []) == texts and all(len(p) == 1 or sum(len(t or "") for t in p) <= 20 for p in parts)
+
+
 PAGES = [(1, "http://a", "same"), (5, "http://b", "same"), (3, None, "same"), (2, "u\r\nX: y", "é漢"), (4, "u", None), (6, "u", ""), (None, "u", "alone"), (None, "v", "same"), (7, "u", "z" * 200_000), (5, "http://b", "same")]
 
 

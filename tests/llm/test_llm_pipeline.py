@@ -4,6 +4,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from frames import AWKWARD, documents
+from pyspark.sql import functions as F
 
 from vigilflow.llm import piece_viterbi, spaced_seeds
 
@@ -63,7 +64,25 @@ def test_one_of_each_group_stays(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = [r.doc_id for r in stage("near_duplicates", spark, docs, folder).select("doc_id").collect()]
     assert 100 in kept and 302 not in kept and 303 not in kept and kept.count(6) == 1 and 3 not in kept
-    assert kept.count(None) == 2  # rows without id stay
+    assert kept.count(None) == 1  # the row without id and text is a copy of empty ones
+
+
+def test_rows_that_share_an_id_are_judged_each_for_itself(spark, folder):
+    """Unlike texts of one id stay both; of equal ones the smallest id, then the smallest hash, whatever the order."""
+    other = "quite another text of many words that has nothing in common with the first one at all"
+    rows = [(7, ITEM, "a"), (7, other, "b"), (None, ITEM, "c"), (None, ITEM.upper(), "c"), (None, "alone without an id here and now", "d"), (None, "alone without an id here and now", "e")]
+    for given in (rows, rows[::-1]):
+        kept = [(r.doc_id, r.text) for r in stage("near_duplicates", spark, documents(spark, given), folder).collect()]
+        assert sorted(kept, key=str) == sorted([(7, ITEM), (7, other), (None, "alone without an id here and now")], key=str)
+
+
+def test_columns_of_any_name_are_carried(spark, folder):
+    docs = documents(spark, [(i, f"Own line {i}.\nShared footer line.", f"s{i}") for i in range(12)]).withColumn("a.b", F.lit(1)).withColumn("c.d e", F.lit("x"))
+    for name in ("lines", "near_duplicates", "decontaminate", "quality"):
+        found = stage(name, spark, docs, folder)
+        assert found.columns == docs.columns
+        if name == "lines":
+            assert {(r.text[:8], r["a.b"], r["c.d e"]) for r in found.collect()} == {("Own line", 1, "x")}
 
 
 def test_leaks_go(spark, folder):

@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,6 @@ STEPS, RATE, RIDGE = 150, 0.1, 1e-3
 UPPER, LOWER, DIGIT, BLANK, STOP, MARK, SYMBOL, OTHER = range(8)
 
 
-@cache
 def char_classes() -> np.ndarray:
     """Class of every code point below 2^16; what lies above counts as the last one."""
     table = np.full(1 << 16, OTHER, np.uint8)
@@ -51,12 +49,16 @@ def char_classes() -> np.ndarray:
     return table
 
 
+#: Made once, and sent along with the functions that read it.
+CHAR_CLASSES = char_classes()
+
+
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all lines of all texts, the lines' lengths, and the number of lines of each text (one at least)."""
     counts = np.array([t.count("\n") + 1 for t in texts], np.int64)
     big = "\n".join(texts) + "\n"
     codes = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), "<u4")
-    kind = char_classes()[np.minimum(codes, (1 << 16) - 1)]
+    kind = CHAR_CLASSES[np.minimum(codes, (1 << 16) - 1)]
     ends = np.flatnonzero(codes == 10)
     starts = np.concatenate(([0], ends[:-1] + 1))
     length = ends - starts
@@ -309,4 +311,6 @@ def keep_good(docs: DataFrame, model: LineCrf, least: float, text_column: str =
             texts = [t or "" for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(model.documents(texts) >= least, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # under numbers for names, for a name may hold a dot
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

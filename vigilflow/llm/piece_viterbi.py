@@ -21,16 +21,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from vigilflow.llm.common import small_batches, texts_of
+from vigilflow.llm.common import texts_of
 
 MARK = "▁"
 WORDS = re.compile(" +[^ ]*")
-#: Words that a Python worker remembers between batches.
-REMEMBERED = 300_000
-#: Bytes of text whose words are segmented together.
+#: Bytes of words, with their ids, that a Python worker remembers between batches, and of the longest word that it does;
+#: pairs of pieces of which it knows whether they may be neighbours (some hundred bytes each).
+REMEMBERED, LONG_WORD, PAIRS = 40_000_000, 400, 300_000
+#: Bytes of text whose words are segmented together; a longer text is segmented alone.
 TOGETHER = 4_000_000
+#: Characters of a word up to which the pieces begun stay on the stack.  A word that shares more with the one before
+#: goes on from there, so a word needs memory in proportion to its length.
+STACKED = 64
 
 
 #: Stands for a word's begin, and for a character that is no piece: nothing merges with either.
@@ -76,12 +81,23 @@ class Pieces:
 
     def allows(self, left: int, right: int) -> bool:
         """Whether merges leave the two pieces alone, side by side."""
-        if len(self.allowed) > REMEMBERED:
+        if len(self.allowed) > PAIRS:
             self.allowed.clear()
         texts = [self.pieces[i] for i in (left, right) if i != NOTHING]
         known = self.allowed[left << 32 | right] = self.merged("".join(texts)) == texts
         return known
 
+    def plain(self) -> dict:
+        """The vocabulary in plain types: what executors unpickle without this package."""
+        return {"given": (self.ids, self.scores, self.bytes_at, self.unknown, self.texts, self.merges)}
+
+    @staticmethod
+    def of(plain: dict) -> Pieces:
+        """The vocabulary of ``plain``, built once in a worker's life."""
+        if "built" not in plain:
+            plain["built"] = Pieces(*plain["given"])
+        return plain["built"]
+
     def spelled(self, char: str) -> bytes:
         """The ids of the bytes of a character that is no piece."""
         return b"".join(self.bytes_at[b].to_bytes(4, "little") for b in char.encode("utf-8", "surrogatepass"))
@@ -138,21 +154,32 @@ def segment(words: list[str], pieces: Pieces) -> Iterator[bytes]:
     A character that is no piece stands for itself, for scored pieces at the cost
     ``unknown``.  On the stacks, for the word's prefix of n characters:
     ``begun[n]`` are the pieces that go on there (trie node and begin, the longest
-    first), ``last[n]`` is the last piece of the prefix's path, ``path[n]`` its ids.
+    first), ``last[n]`` is the last piece of the prefix's path and ``back[n]`` where it
+    begins; a word's path is read from its end.
     """
     return _on_allowed_path(words, pieces) if pieces.merges else _on_best_path(words, pieces)
 
 
+def _path(word: str, last: list[int], back: list[int], pieces: Pieces) -> bytes:
+    parts, at = [], len(word)
+    while at:
+        parts.append(pieces.codes[last[at]] if last[at] >= 0 else pieces.spelled(word[at - 1]))
+        at = back[at]
+    parts.reverse()
+    return b"".join(parts)
+
+
 def _on_allowed_path(words: list[str], pieces: Pieces) -> Iterator[bytes]:
-    begun, last, path, before = [[]], [NOTHING], [b""], ""
-    first, codes, known = pieces.root.get, pieces.codes, pieces.allowed.get
+    begun, last, back, before = [[]], [NOTHING], [0], ""
+    first, known = pieces.root.get, pieces.allowed.get
     for word in words:
-        shared = _shared(word, before)
-        del begun[shared + 1 :], last[shared + 1 :], path[shared + 1 :]
+        shared = min(_shared(word, before), STACKED)
+        del begun[shared + 1 :], last[shared + 1 :], back[shared + 1 :]
+        now = begun[shared]
         for end in range(shared, len(word)):
             char = word[end]
             going, piece, begin = [], NOTHING, end
-            for children, start in begun[end]:
+            for children, start in now:
                 node = children.get(char)
                 if node is not None:
                     if node[0]:
@@ -169,36 +196,42 @@ def _on_allowed_path(words: list[str], pieces: Pieces) -> Iterator[bytes]:
                     going.append((node[0], end))
                 if piece < 0:
                     piece = node[1]
-            begun.append(going)
+            now = going
+            if end < STACKED:
+                begun.append(going)
             last.append(piece)
-            path.append(path[begin] + (codes[piece] if piece >= 0 else pieces.spelled(char)))
+            back.append(begin)
         before = word
-        yield path[-1]
+        yield _path(word, last, back, pieces)
 
 
 def _on_best_path(words: list[str], pieces: Pieces) -> Iterator[bytes]:
     """``score[n]`` is that of the prefix's path; of equal scores the longest last piece counts."""
-    begun, score, path, before = [[]], [0.0], [b""], ""
+    begun, score, last, back, before = [[]], [0.0], [NOTHING], [0], ""
     for word in words:
-        shared = _shared(word, before)
-        del begun[shared + 1 :], score[shared + 1 :], path[shared + 1 :]
+        shared = min(_shared(word, before), STACKED)
+        del begun[shared + 1 :], score[shared + 1 :], last[shared + 1 :], back[shared + 1 :]
+        now = begun[shared]
         for end in range(shared, len(word)):
             char = word[end]
             going, found = [], []
-            for children, start in (*begun[end], (pieces.root, end)):
+            for children, start in (*now, (pieces.root, end)):
                 node = children.get(char)
                 if node is not None:
                     going.append((node[0], start))
                     if node[1] >= 0:
-                        found.append((score[start] + pieces.scores[node[1]], start, pieces.codes[node[1]]))
+                        found.append((score[start] + pieces.scores[node[1]], start, node[1]))
             if char not in pieces.ids:
-                found.append((score[end] + pieces.unknown, end, pieces.spelled(char)))
-            top, begin, code = max(found, key=lambda x: x[0])  # the first of equal ones
-            begun.append(going)
+                found.append((score[end] + pieces.unknown, end, NOTHING))
+            top, begin, piece = max(found, key=lambda x: x[0])  # the first of equal ones
+            now = going
+            if end < STACKED:
+                begun.append(going)
             score.append(top)
-            path.append(path[begin] + code)
+            last.append(piece)
+            back.append(begin)
         before = word
-        yield path[-1]
+        yield _path(word, last, back, pieces)
 
 
 def words_of(text: str) -> list[str]:
@@ -211,22 +244,27 @@ def words_of(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes batches of texts; remembers the words of earlier batches up to a bound."""
+    """Encodes batches of texts; remembers the words of earlier batches up to a bound in bytes."""
 
     def __init__(self, pieces: Pieces, remembered: int = REMEMBERED):
-        self.pieces, self.remembered, self.known, self.older = pieces, remembered, {}, {}
+        self.pieces, self.remembered, self.known, self.older, self.held = pieces, remembered, {}, {}, 0
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of ids of each."""
         split = [words_of(t) for t in texts]
-        if len(self.known) > self.remembered // 2:  # words not met for that long are forgotten
-            self.known, self.older = {}, self.known
+        if self.held > self.remembered // 2:  # words not met for that long are forgotten
+            self.known, self.older, self.held = {}, self.known, 0
         known, older = self.known, self.older
         distinct = set().union(*split)
-        known.update((w, older[w]) for w in distinct.difference(known).intersection(older))
-        new = sorted(distinct.difference(known))
-        known.update(zip(new, segment([" " + w for w in new], self.pieces), strict=True))
-        here = {w: known[w] for w in distinct}
+        here = {w: known[w] for w in distinct.intersection(known)}
+        again = {w: older[w] for w in distinct.difference(here).intersection(older)}
+        new = sorted(distinct.difference(here, again))
+        again.update(zip(new, segment([" " + w for w in new], self.pieces), strict=True))
+        here.update(again)
+        for word, code in again.items():
+            if len(word) <= LONG_WORD:
+                known[word] = code
+                self.held += 2 * len(word) + len(code) + 150
         parts = [b"".join(map(here.__getitem__, ws)) for ws in split]
         return np.frombuffer(b"".join(parts), "<i4"), np.array([len(p) // 4 for p in parts], np.int64)
 
@@ -241,7 +279,8 @@ def decode_ids(ids: np.ndarray, counts: np.ndarray, pieces: Pieces) -> list[str]
     ends = np.cumsum(n)
     total = int(ends[-1]) if len(ends) else 0
     # byte k of the output is byte k - (its piece's place in the output) + (its piece's place in the store)
-    data = whole[np.arange(total) + np.repeat(starts[ids] - (ends - n), n)].tobytes()
+    kind = np.int32 if total < 1 << 30 else np.int64  # the vocabulary's bytes are far fewer
+    data = whole[np.arange(total, dtype=kind) + np.repeat((starts[ids] - (ends - n)).astype(kind), n)].tobytes()
     last = np.concatenate(([0], ends))[np.cumsum(counts)].tolist()
     texts = []
     for begin, end in zip([0, *last], last, strict=False):
@@ -249,19 +288,30 @@ def decode_ids(ids: np.ndarray, counts: np.ndarray, pieces: Pieces) -> list[str]
     return texts
 
 
-def gathered(batches: Iterator[pa.RecordBatch], size: int = TOGETHER) -> Iterator[pa.RecordBatch]:
-    """Neighbouring batches put together up to about ``size`` bytes: more words in a batch share more prefixes."""
+def _stretches(batches: Iterator[pa.RecordBatch], size: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, put together or cut to about ``size`` bytes, a row at least: more words share more prefixes."""
     held, held_bytes = [], 0
     for batch in batches:
-        held.append(batch)
-        held_bytes += batch.nbytes
-        if held_bytes >= size:
-            yield pa.concat_batches(held)
-            held, held_bytes = [], 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < len(ends):
+            before = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + size - held_bytes, "right")))
+            held.append(batch.slice(begin, end - begin))
+            held_bytes += int(ends[end - 1]) - before
+            begin = end
+            if held_bytes >= size or begin < len(ends):
+                yield pa.concat_batches(held)
+                held, held_bytes = [], 0
     if held:
         yield pa.concat_batches(held)
 
 
+def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+
+
 def encode(docs: DataFrame, pieces: Pieces, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, ids`` for every row.
 
@@ -270,32 +320,40 @@ def encode(docs: DataFrame, pieces: Pieces, id_column: str = "doc_id", text_colu
     repeated one are encoded like others.  Texts of any length are read
     whole.  Other columns are not read.  No rows: no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    given = spark.sparkContext.broadcast(pieces)  # as large as the vocabulary file
+    given = docs.sparkSession.sparkContext.broadcast(pieces.plain())  # as large as the vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(given.value)
-        for batch in gathered(batches):
-            ids, counts = encoder(batch.column("text").to_pylist())
-            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
+        encoder = Encoder(Pieces.of(given.value))
+        for batch in _stretches(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(*encoder(batch.column("text").to_pylist()))], ["doc_id", "ids"])
 
     return texts_of(docs, id_column, text_column).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, pieces: Pieces, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """``doc_id, ids, text`` for every row; null ids are no ids, an id outside the vocabulary or null raises an error."""
-    spark = encoded.sparkSession
-    small_batches(spark)
-    given = spark.sparkContext.broadcast(pieces)
+    given = encoded.sparkSession.sparkContext.broadcast(pieces.plain())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ids")
-            texts = decode_ids(ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()), given.value)
+            texts = decode_ids(ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()), Pieces.of(given.value))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     known = F.coalesce(F.col(ids_column).cast("array<int>"), F.array().cast("array<int>"))
     return encoded.select(F.col(id_column).cast("long").alias("doc_id"), known.alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
+def encode_and_decode(docs: DataFrame, pieces: Pieces, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``doc_id, n_ids, ids, text`` for every row: ``encode``, and ``decode`` of its ids, in one pass of one worker per core."""
+    given = docs.sparkSession.sparkContext.broadcast(pieces.plain())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces.of(given.value)
+        encoder = Encoder(pieces)
+        for batch in _stretches(batches):
+            ids, counts = encoder(batch.column("text").to_pylist())
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int32()), _lists(ids, counts), pa.array(decode_ids(ids, counts, pieces), pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "ids", "text"])
+
+    return texts_of(docs, id_column, text_column).mapInArrow(run, "doc_id long, n_ids int, ids array<int>, text string")

@@ -84,22 +84,22 @@ def _usable(column: str):
 
 def describe(nodes: DataFrame, model: Pivots) -> DataFrame:
     """Adds ``pivots``, the numbers of each vector's nearest pivots by distance, and ``lists``, the keys of its lists."""
-    known = nodes.sparkSession.sparkContext.broadcast(model)  # ``pivots`` unit vectors for each dimension
+    known = nodes.sparkSession.sparkContext.broadcast((model.points, model.nearest, model.shared))  # ``pivots`` unit vectors for each dimension
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = known.value
+        points_by, nearest, shared = known.value
         for batch in batches:
             vectors = batch.column("embedding")
             sizes = np.array([len(v) for v in vectors])
             orders: list[list[int]] = [[]] * len(sizes)
-            for size, points in model.points.items():
+            for size, points in points_by.items():
                 at = np.flatnonzero(sizes == size)
                 if len(at):
                     x = unit(np.array(vectors.take(pa.array(at)).flatten()).reshape(len(at), size))
-                    order = np.argsort(-(x @ points.T), axis=1, kind="stable")[:, : model.nearest]
+                    order = np.argsort(-(x @ points.T), axis=1, kind="stable")[:, :nearest]
                     for i, o in zip(at.tolist(), order.tolist(), strict=True):
                         orders[i] = o
-            lists = [[f"{n}:" + ",".join(map(str, c)) for c in combinations(sorted(o), model.shared)] if o else [f"{n}:"] for n, o in zip(sizes.tolist(), orders, strict=True)]
+            lists = [[f"{n}:" + ",".join(map(str, c)) for c in combinations(sorted(o), shared)] if o else [f"{n}:"] for n, o in zip(sizes.tolist(), orders, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(orders, pa.list_(pa.int32())), pa.array(lists, pa.list_(pa.string()))], [*batch.schema.names, "pivots", "lists"]
             )

@@ -78,9 +78,7 @@ def op8_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_piece_viterbi(spark: SparkSession, folder: str, model_path: str = MODEL) -> DataFrame:
-    pieces = piece_viterbi.load(model_path)
-    encoded = piece_viterbi.encode(read_table(spark, folder, "documents"), pieces)
-    return piece_viterbi.decode(encoded, pieces).select("doc_id", F.size("ids").alias("n_ids"), "ids", "text")
+    return piece_viterbi.encode_and_decode(read_table(spark, folder, "documents"), piece_viterbi.load(model_path))
 
 
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
