@@ -5,8 +5,10 @@ Every stage is a function of (spark, docs, sf_dir).  ``docs`` has the columns of
 the last return them.  ``run`` writes what a stage returns as Parquet and gives
 the next one the table read again, so a lost executor costs no earlier stage.
 
-In all stages a null text is an empty one, and texts are read whole.  Rows
-without id are kept unless their text is rejected; see each stage for the rest.
+In all stages a null text is an empty one, and texts are read whole.  Rows without
+id or with a repeated one are rows like others, judged each by its own text;
+of equal rows the near-duplicate stage keeps one.  Empty tables give empty tables.
+Column names may hold dots; columns beside doc_id, text and source are carried along.
 """
 
 from __future__ import annotations
@@ -36,41 +38,46 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     other = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     found = line_spread.remove_spread_lines(docs, carry=other, long_sites=LONG_SITES)
     made = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return found.select(*[made[c].alias(c) if c in made else F.col(f"carried.`{c}`").alias(c) for c in docs.columns])
+    return found.select(*[made[c].alias(c) if c in made else F.col("carried").getField(c).alias(c) for c in docs.columns])
+
+
+def _with_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows under a number of their own, and that column's name; written, for a task that runs again may number them otherwise."""
+    key = "row"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    return settle(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked fingerprints the document with the smallest id.
+    """Of every group of linked fingerprints the row with the smallest id, then the smallest hash of its text.
 
-    Rows that repeat an id are one document: it stays if one of them does, and one
-    of them stays.
+    Rows are judged one by one: an id that rows share links nothing.  Rows without
+    id come after all others.
     """
-    found = simhash.near_duplicates(docs, shingle=4, distance=4).filter("doc_id is not null")
-    judged = settle(found.groupBy("doc_id").agg(F.max(F.expr("doc_id = component_id")).alias("stays"), F.count(F.lit(1)).alias("n")), "judged")
-    gone = lookup(settle(judged.filter("not stays").select(F.col("doc_id").alias("copy")), "copies"))
-    rows = docs.join(gone, docs["doc_id"] == gone["copy"], "left_anti")
-    if judged.filter("stays and n > 1").isEmpty():
-        return rows
-    return rows.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id is null"))
+    rows, key = _with_key(docs)
+    found = simhash.near_duplicates(rows, id_column=key, shingle=4, distance=4)
+    groups = found.select(F.col("doc_id").alias("copy"), F.col("component_id").alias("group"))
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    known = settle(
+        rows.select(F.col(key).alias("copy"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), text, F.col(key)).alias("place")).join(groups, "copy"), "groups"
+    )
+    first = settle(known.groupBy("group").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "firsts")
+    gone = settle(known.join(lookup(first), "group").filter("place <> first").select("copy"), "copies")
+    return rows.join(lookup(gone), rows[key] == gone["copy"], "left_anti").drop(key)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows whose own text has no verified overlap with a benchmark item, whatever their ids."""
-    key = "row"
-    while key in {c.lower() for c in docs.columns}:
-        key += "_"
-    # written, for a task that runs again may number its rows otherwise
-    rows = settle(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    rows, key = _with_key(docs)
     found = spaced_seeds.contaminated(rows, read_table(spark, sf_dir, "benchmark"), id_column=key)
     leaks = lookup(settle(found.select(F.col("doc_id").alias("leak")), "leaks"))
     return rows.join(leaks, rows[key] == leaks["leak"], "left_anti").drop(key)
 
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_ids, ids, text`` of every document: its ids and the text decoded from them."""
-    pieces = piece_viterbi.load(MODEL)
-    decoded = piece_viterbi.decode(piece_viterbi.encode(docs, pieces), pieces)
-    return decoded.select("doc_id", F.size("ids").alias("n_ids"), "ids", "text")
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, model_path: str = MODEL) -> DataFrame:
+    """``doc_id, n_ids, ids, text`` of every row: its ids and the text decoded from them."""
+    return piece_viterbi.encode_and_decode(docs, piece_viterbi.load(model_path))
 
 
 STAGES = [
