@@ -9,6 +9,10 @@ left unsorted.
 Suffixes are routed by their leading words, so that all suffixes that begin with a
 phrase meet in one bucket.  They travel in blocks: the distinct suffixes that a
 batch of texts has in a bucket, as numbers of a word list, with their counts.
+
+Before that, words and pairs of neighbouring words are counted by hash.  A hash
+whose count is below the least one has no frequent pair, so no suffix goes on over
+such a pair.  These filters hold back rows only, never a frequent phrase.
 """
 
 from __future__ import annotations
@@ -28,8 +32,9 @@ from vigilflow.session import settle
 SHORTEST, LONGEST, LEAST = 2, 5, 100
 #: Phrases returned of a language.
 TOP = 2000
-#: Bits of the filter of frequent words, a fixed size whatever the input.
-FILTER_BITS = 1 << 22
+#: Bits of the filter of frequent words, and least and most of that of frequent pairs, which has one for eight words:
+#: fixed bounds whatever the input.  Slots of pairs that are summed up together, and rows of them.
+FILTER_BITS, LEAST_SLOTS, MOST_SLOTS, CHUNK, FAN = 1 << 22, 1 << 20, 1 << 28, 18, 256
 #: Distinct words that a task counts or remembers before it lets go of them; words of texts put into blocks together.
 REMEMBERED, TOGETHER = 300_000, 2_000_000
 #: Suffixes of a bucket, about, and the number from which it is parted once more; parts of a bucket that is.
@@ -113,13 +118,25 @@ class Numbers(dict):
         return self[word]
 
 
-def suffixes(ids: np.ndarray, longest: int) -> np.ndarray:
-    """The suffixes of two or more words, each cut after ``longest`` words or before the first -1; -1 beyond its end."""
-    padded = np.concatenate([ids, np.full(longest, -1, ids.dtype)])
-    begin = np.flatnonzero((padded[:-longest] >= 0) & (padded[1 : len(padded) - longest + 1] >= 0))
-    rows = np.stack([padded[begin + k] for k in range(longest)], axis=1)
-    for k in range(2, longest):
-        rows[rows[:, k - 1] < 0, k] = -1
+def _passes(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether the bits at these places are set."""
+    place = place.astype(np.int64)
+    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def suffixes(ids: np.ndarray, goes_on: np.ndarray, longest: int) -> np.ndarray:
+    """The suffixes of two or more words, each cut after ``longest`` words; -1 beyond its end.
+
+    ``goes_on`` says of each word whether a phrase may go on from it to the next.
+    """
+    begin = np.flatnonzero(goes_on)
+    rows = np.full((len(begin), longest), -1, ids.dtype)
+    padded, alive = np.concatenate([ids, np.full(longest, -1, ids.dtype)]), np.ones(len(begin), bool)
+    goes_on = np.concatenate([goes_on, np.zeros(longest, bool)])
+    rows[:, 0] = ids[begin]
+    for k in range(1, longest):
+        alive &= goes_on[begin + k - 1]
+        rows[alive, k] = padded[begin[alive] + k]
     return rows
 
 
@@ -168,37 +185,104 @@ def _as_batch(blocks: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "rows", "words", "coded"])
 
 
-def routed(docs: DataFrame, frequent: np.ndarray, buckets: int, text_column: str = "text", lang_column: str = "lang", longest: int = LONGEST) -> DataFrame:
-    """The blocks of all texts, bucketed by the first two words of their suffixes."""
+def _numbered(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[tuple[Numbers, np.ndarray]]:
+    """The words of texts of a language as numbers in a row, -1 between texts: about ``TOGETHER`` words of all languages at a time."""
+    numbers: dict[str, Numbers] = {}
+    held: dict[str, list[np.ndarray]] = {}
+    waiting, end = 0, np.array([-1], np.int32)
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            own = numbers.get(lang)
+            if own is None:
+                own = numbers[lang] = Numbers(lang, frequent)
+            found = words(text.as_py())
+            held.setdefault(lang, []).extend((np.fromiter(map(own.__getitem__, found), np.int32, len(found)), end))
+            waiting += len(found)
+            if waiting >= TOGETHER:
+                for name, texts in held.items():
+                    yield numbers[name], np.concatenate(texts)
+                held, waiting = {}, 0
+                if sum(map(len, numbers.values())) > REMEMBERED:
+                    numbers = {}
+    for name, texts in held.items():
+        yield numbers[name], np.concatenate(texts)
+
+
+def _pairs(numbers: Numbers, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a frequent word has a frequent one behind it, and the hashes of those pairs."""
+    at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+    hashes = np.array(numbers.hashes, np.uint64)
+    return at, mixed(np.stack([hashes[ids[at]], hashes[ids[at + 1]]], axis=1), 2)
+
+
+def _slots_coded(slots: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
+    return len(slots), pa.compress(slots.astype(np.int32).tobytes() + counts.astype(np.int64).tobytes(), "zstd", asbytes=True)
+
+
+def _slots_summed(part: pa.Table) -> np.ndarray:
+    total = np.zeros(1 << CHUNK, np.int64)
+    for n, coded in zip(part.column("n").to_pylist(), part.column("coded").to_pylist(), strict=True):
+        raw = pa.decompress(coded, 12 * n, "zstd", asbytes=True)
+        total[np.frombuffer(raw, np.int32, n)] += np.frombuffer(raw, np.int64, n, 4 * n)
+    return total
+
+
+_SLOTS = "chunk long, part long, n long, coded binary"
+
+
+def pair_filter(docs: DataFrame, frequent: np.ndarray, slots: int, least: int, text_column: str = "text", lang_column: str = "lang") -> np.ndarray:
+    """A bit for each slot, a hash of two neighbouring words, whose pairs stand ``least`` times or more in all.
+
+    Counts are summed up chunk by chunk of slots, by at most ``FAN`` rows at a time.
+    """
     given = docs.sparkSession.sparkContext.broadcast(frequent)  # of a fixed size
 
-    def flushed(numbers: Numbers, texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        rows = suffixes(np.concatenate(texts), longest)
-        if len(rows):
-            hashes = np.array([*numbers.hashes, 0], np.uint64)  # the last one for -1
-            bucket = (mixed(hashes[rows[:, :2]], 2) % np.uint64(buckets)).astype(np.int64)
-            yield _as_batch(list(_blocks(numbers.lang, np.array(numbers.words, object), *distinct(rows, np.ones(len(rows), np.int64), bucket))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = 0
+        for numbers, ids in _numbered(batches, given.value):
+            place, counts = np.unique(_pairs(numbers, ids)[1] % np.uint64(slots), return_counts=True)
+            place = place.astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(place >> CHUNK)) + 1).tolist(), len(place)]
+            rows = [(int(place[i]) >> CHUNK, part, *_slots_coded(place[i:j] & (1 << CHUNK) - 1, counts[i:j])) for i, j in zip(cuts, cuts[1:], strict=False) if j > i]
+            part += 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["chunk", "part", "n", "coded"])
+
+    def some(part: pa.Table) -> pa.Table:
+        total = _slots_summed(part)
+        place = np.flatnonzero(total)
+        n, coded = _slots_coded(place, total[place])
+        return pa.table({"chunk": [part.column("chunk")[0].as_py()], "part": [part.column("part")[0].as_py()], "n": [n], "coded": [coded]})
+
+    def bits(part: pa.Table) -> pa.Table:
+        return pa.table({"chunk": [part.column("chunk")[0].as_py()], "bits": [np.packbits(_slots_summed(part) >= least).tobytes()]})
+
+    parts = settle(_named(docs, text_column, lang_column).mapInArrow(run, _SLOTS), "pairs")
+    most = lambda: parts.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    while (rows := most()) > FAN:
+        spread = F.pmod(F.xxhash64("coded"), F.lit(-(-rows // (FAN // 2)))).alias("part")
+        parts = settle(parts.select("chunk", spread, "n", "coded").groupBy("chunk", "part").applyInArrow(some, _SLOTS), "pairs")
+    found = np.zeros(-(-slots >> CHUNK) << CHUNK - 3, np.uint8)
+    for chunk, own in parts.groupBy("chunk").applyInArrow(bits, "chunk long, bits binary").toLocalIterator():  # at most MOST_SLOTS bits
+        found[chunk << CHUNK - 3 : chunk + 1 << CHUNK - 3] = np.frombuffer(own, np.uint8)
+    return found
+
+
+def routed(
+    docs: DataFrame, frequent: np.ndarray, pairs: np.ndarray, slots: int, buckets: int, text_column: str = "text", lang_column: str = "lang", longest: int = LONGEST
+) -> DataFrame:
+    """The blocks of all texts, bucketed by the first two words of their suffixes."""
+    given = docs.sparkSession.sparkContext.broadcast((frequent, pairs))  # of bounded sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[str, Numbers] = {}
-        held: dict[str, list[np.ndarray]] = {}
-        waiting, end = 0, np.array([-1], np.int32)
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                own = numbers.get(lang)
-                if own is None:
-                    own = numbers[lang] = Numbers(lang, given.value)
-                found = words(text.as_py())
-                held.setdefault(lang, []).extend((np.fromiter(map(own.__getitem__, found), np.int32, len(found)), end))
-                waiting += len(found)
-                if waiting >= TOGETHER:
-                    for name, texts in held.items():
-                        yield from flushed(numbers[name], texts)
-                    held, waiting = {}, 0
-                    if sum(map(len, numbers.values())) > REMEMBERED:
-                        numbers = {}
-        for name, texts in held.items():
-            yield from flushed(numbers[name], texts)
+        frequent, pairs = given.value
+        for numbers, ids in _numbered(batches, frequent):
+            at, hashes = _pairs(numbers, ids)
+            goes_on, bucket = np.zeros(len(ids), bool), np.zeros(len(ids), np.int64)
+            goes_on[at], bucket[at] = _passes(pairs, hashes % np.uint64(slots)), (hashes >> np.uint64(20)) % np.uint64(buckets)
+            rows = suffixes(ids, goes_on, longest)
+            if len(rows):
+                yield _as_batch(list(_blocks(numbers.lang, np.array(numbers.words, object), *distinct(rows, np.ones(len(rows), np.int64), bucket[goes_on]))))
 
     return _named(docs, text_column, lang_column).mapInArrow(run, _BLOCK)
 
@@ -289,7 +373,9 @@ def phrase_counts(
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket)))
     frequent = frequent_filter(counted.filter(F.col("n") >= least))
-    blocks = settle(routed(docs, frequent, buckets, text_column, lang_column, longest), "blocks")
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (total // 8).bit_length()))
+    pairs = pair_filter(docs, frequent, slots, least, text_column, lang_column)
+    blocks = settle(routed(docs, frequent, pairs, slots, buckets, text_column, lang_column, longest), "blocks")
     key, found, most = ["lang", "bucket"], [], None
     for depth in range(2, longest + 1):
         sizes = settle(blocks.groupBy(key).agg(F.sum("rows").alias("held")), "sizes")
