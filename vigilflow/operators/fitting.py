@@ -112,7 +112,7 @@ def fit_categories(df: DataFrame, columns: list[str], limit: int = MAX_CATEGORIE
     """Most frequent value (ties to the smaller) and all values, sorted.
 
     Every value becomes a column, so more than ``limit`` of them is an error,
-    checked before anything is fetched.
+    checked before anything is fetched; ``encoding`` takes columns of any number.
     """
     if not columns:
         return []

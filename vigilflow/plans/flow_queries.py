@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vigilflow import fixed_values as V
 from vigilflow.functions.expr import iso as spark_iso
 from vigilflow.functions.timerange import literal
-from vigilflow.operators import analytics as A, cleaning, features, fitting, paging as P, profiling, quality, telemetry
+from vigilflow.operators import analytics as A, cleaning, encoding, features, fitting, paging as P, profiling, quality, telemetry
 from vigilflow.plans.registry import query
 from vigilflow.plans.views_sql import fixed, iso, pct
 from vigilflow.session import scratch_path
@@ -523,6 +523,47 @@ def one_hot(t):
     return unseen.select("flow_id", *fitting.feature_columns(params))
 
 
+WIDE = ["service", "destination_ip", "day"]
+WIDE_SQL = "SELECT flow_id, service, destination_ip, strftime(captured_at, '%Y-%m-%d') AS day FROM flows"
+INDEX_SQL = """SELECT column_name, value, count(*) AS rows, row_number() OVER (ORDER BY place, value) - 1 AS index
+      FROM (SELECT unnest([{'place': 1, 'column_name': 'service', 'value': service}, {'place': 2, 'column_name': 'destination_ip', 'value': destination_ip}, {'place': 3, 'column_name': 'day', 'value': day}], recursive := true) FROM wide)
+      WHERE value IS NOT NULL GROUP BY place, column_name, value"""
+MODES_SQL = "SELECT column_name, value AS mode, count(*) OVER (PARTITION BY column_name) AS categories FROM i QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY rows DESC, value) = 1"
+
+
+def wide_rows(t):
+    """Category columns of thousands of values, the day of capture among them."""
+    return t.domain.flows.select("flow_id", "service", "destination_ip", F.date_format("captured_at", "yyyy-MM-dd").alias("day"))
+
+
+@query("category_index", "SELECT column_name, value, rows, index FROM i", "flows", wide=WIDE_SQL, i=INDEX_SQL)
+def category_index(t):
+    return encoding.fit_index(wide_rows(t), WIDE)
+
+
+@query("category_modes", "SELECT column_name, mode, categories FROM m", "flows", wide=WIDE_SQL, i=INDEX_SQL, m=MODES_SQL)
+def category_modes(t):
+    return encoding.modes(encoding.fit_index(wide_rows(t), WIDE))
+
+
+@query(
+    "one_hot_sparse",
+    """SELECT flow_id, (SELECT count(*) FROM i) AS size, concat_ws(',', a.index, b.index, c.index) AS indices
+    FROM (SELECT flow_id, coalesce(service, (SELECT mode FROM m WHERE column_name = 'service')) AS s, coalesce(destination_ip, (SELECT mode FROM m WHERE column_name = 'destination_ip')) AS d,
+      CASE WHEN service = 'N' THEN 'new' ELSE coalesce(day, (SELECT mode FROM m WHERE column_name = 'day')) END AS y FROM wide) w
+    LEFT JOIN i a ON a.column_name = 'service' AND a.value = s LEFT JOIN i b ON b.column_name = 'destination_ip' AND b.value = d LEFT JOIN i c ON c.column_name = 'day' AND c.value = y""",
+    "flows",
+    wide=WIDE_SQL,
+    i=INDEX_SQL,
+    m=MODES_SQL,
+)
+def one_hot_sparse(t):
+    rows = wide_rows(t)
+    unseen = rows.withColumn("day", F.when(F.col("service") == "N", "new").otherwise(F.col("day")))
+    found = encoding.encode(unseen, encoding.fit_index(rows, WIDE), WIDE)
+    return found.select("flow_id", "categories.size", F.array_join(F.transform("categories.indices", lambda x: x.cast("string")), ",").alias("indices"))
+
+
 @query(
     "split_numeric_categorical",
     """SELECT kind, count(*) AS columns, (SELECT count(*) FROM flows) AS rows FROM (SELECT CASE WHEN data_type IN ('VARCHAR', 'TIMESTAMP') THEN 'categorical' ELSE 'numeric' END AS kind
