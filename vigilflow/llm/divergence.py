@@ -1,8 +1,8 @@
 """How far the sources of a language differ in their words: single-pass in-memory indexing.
 
 Every task indexes its documents in memory, term by source, until the block is
-full; a full block is written as a run sorted by term.  The runs of each hash
-shard are merged by a heap into frequencies.  Pairs of sources get the sum that
+full; a full block is written as a run sorted by term, in a segment for each hash
+slot.  The runs of each slot are merged by a heap into frequencies.  Pairs of sources get the sum that
 terms seen in neither of them give, and corrections streamed from the terms seen in
 one or both.
 
@@ -16,11 +16,10 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilflow.llm.common import lookup
@@ -28,8 +27,10 @@ from vigilflow.session import settle
 
 #: Postings (term, source) of a block in memory, after which it is written.
 POSTINGS = 400_000
-#: Rows of runs that a shard has, and postings of a chunk of terms, about.
-SHARD_ROWS, CHUNK_ROWS = 400_000, 400_000
+#: Hash slots of a run, at least and at most: one for so many documents.
+LEAST_SLOTS, MOST_SLOTS, SLOT_DOCS = 256, 1 << 16, 10_000
+#: Chunks in which pairs are summed up, at least, and postings of one, about.
+LEAST_CHUNKS, CHUNK_ROWS = 32, 400_000
 #: Sources of a block: pairs are summed block by block.
 SOURCES = 256
 #: Parts in which a group's terms are ranked first, so that a group with most of the rows is not ranked by one task.
@@ -58,103 +59,120 @@ class Block:
         self.size += len(of_source) - before
         self.docs.setdefault(lang, Counter()).update(set(found))
 
-    def run(self) -> Iterator[tuple[str, bytes, int, list[str], list[int]]]:
-        """(language, term, documents, sources, counts) by language and term."""
-        for lang in sorted(self.docs):
-            postings: dict[bytes, tuple[list[str], list[int]]] = {}
-            for source, counts in self.counts[lang].items():
-                for term, n in counts.items():
-                    sources, numbers = postings.setdefault(term, ([], []))
-                    sources.append(source)
-                    numbers.append(n)
-            docs = self.docs[lang]
-            for term in sorted(postings):
-                yield lang, term, docs[term], *postings[term]
-
-
-_RUN = "run long, at long, lang string, term string, docs long, sources array<string>, counts array<long>"
-
-
-def _as_batches(rows: Iterator[tuple], run: int, size: int = 20_000) -> Iterator[pa.RecordBatch]:
-    held, at = [], 0
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield _as_batch(held, run, at)
-            held, at = [], at + size
-    if held:
-        yield _as_batch(held, run, at)
-
-
-def _as_batch(rows: list[tuple], run: int, at: int) -> pa.RecordBatch:
-    lang, term, docs, sources, counts = zip(*rows, strict=True)
+    def segments(self, slots: int) -> Iterator[tuple]:
+        """Per language and slot: the terms in order (a blank between), and, coded, their documents and postings."""
+        for lang, docs in self.docs.items():
+            terms = sorted(docs)
+            place = {t: i for i, t in enumerate(terms)}
+            sources = list(self.counts[lang])
+            held = [self.counts[lang][s] for s in sources]
+            of = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in held)])
+            code = np.repeat(np.arange(len(held)), [len(c) for c in held])
+            n = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(c.values(), np.int64, len(c)) for c in held)])
+            slot = np.fromiter((xxhash.xxh64_intdigest(t) % slots for t in terms), np.int64, len(terms))
+            seen = np.fromiter(map(docs.__getitem__, terms), np.int64, len(terms))
+            by_slot = np.argsort(slot, kind="stable")
+            order = np.lexsort((of, slot[of]))
+            of, code, n = of[order], code[order], n[order]
+            postings = np.bincount(of, minlength=len(terms))
+            cuts = [0, *(np.flatnonzero(np.diff(slot[by_slot])) + 1).tolist(), len(terms)]
+            begin = 0
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if j > i:
+                    own = by_slot[i:j]
+                    end = begin + int(postings[own].sum())
+                    coded = np.concatenate([seen[own], postings[own], code[begin:end], n[begin:end]]).astype("<i8").tobytes()
+                    yield lang, int(slot[own[0]]), j - i, end - begin, sources, b" ".join(map(terms.__getitem__, own.tolist())), pa.compress(coded, "zstd", asbytes=True)
+                    begin = end
+
+
+_RUN = "lang string, slot long, n long, postings long, sources array<string>, terms binary, coded binary"
+
+
+def _as_batch(segments: list[tuple]) -> pa.RecordBatch:
+    lang, slot, n, postings, sources, terms, coded = zip(*segments, strict=True)
     columns = [
-        pa.array(np.full(len(rows), run)), pa.array(np.arange(at, at + len(rows))), pa.array(lang, pa.string()), pa.array(term, pa.binary()).cast(pa.string()),
-        pa.array(docs, pa.int64()), pa.array(sources, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64())),
+        pa.array(lang, pa.string()), pa.array(slot, pa.int64()), pa.array(n, pa.int64()), pa.array(postings, pa.int64()), pa.array(sources, pa.list_(pa.string())),
+        pa.array(terms, pa.binary()), pa.array(coded, pa.binary()),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["run", "at", "lang", "term", "docs", "sources", "counts"])
+    return pa.RecordBatch.from_arrays(columns, ["lang", "slot", "n", "postings", "sources", "terms", "coded"])
 
 
 def _keyed(docs: DataFrame, lang_column: str, source_column: str) -> list[Column]:
     return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang_column, "lang"), (source_column, "source"))]
 
 
-def index_runs(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", source_column: str = "source", postings: int = POSTINGS) -> DataFrame:
-    """The runs of all blocks; ``run`` and ``at`` say which run a row is of and where it stands in it."""
+def index_runs(
+    docs: DataFrame, slots: int, text_column: str = "text", lang_column: str = "lang", source_column: str = "source", postings: int = POSTINGS
+) -> DataFrame:
+    """The runs of all blocks, a row for each segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, number = Block(), TaskContext.get().partitionId() << 32
+        block = Block()
         for batch in batches:
             for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text"), strict=True):
                 block.add(lang, source, terms(text.as_py()))
                 if block.size >= postings:
-                    yield from _as_batches(block.run(), number)
-                    block, number = Block(), number + 1
-        yield from _as_batches(block.run(), number)
+                    yield _as_batch(list(block.segments(slots)))
+                    block = Block()
+        if block.size:
+            yield _as_batch(list(block.segments(slots)))
 
     text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("text")
     return docs.select(*_keyed(docs, lang_column, source_column), text).mapInArrow(run, _RUN)
 
 
-def merge_runs(shard: pa.Table, least_docs: int) -> pa.Table:
-    """The frequencies of a shard from its runs, by a heap of the runs' heads."""
-    shard = shard.sort_by([("run", "ascending"), ("at", "ascending")])
-    number = shard.column("run").to_numpy()
-    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
-    columns = [shard.column(c).to_pylist() for c in ("lang", "term", "docs", "sources", "counts")]
-    runs = [zip(*(c[i:j] for c in columns), strict=True) for i, j in zip(cuts, cuts[1:], strict=False)]
-    found = []
-    for (lang, term), same in groupby(heapq.merge(*runs, key=lambda r: (r[0], r[1])), key=lambda r: (r[0], r[1])):
-        docs, counts = 0, Counter()
-        for _, _, n, sources, numbers in same:
-            docs += n
-            for source, c in zip(sources, numbers, strict=True):
-                counts[source] += c
-        if docs >= least_docs:
-            found.append((lang, term, docs, list(counts), list(counts.values())))
-    lang, term, docs, sources, counts = zip(*found, strict=True) if found else ([],) * 5
+def merge_runs(slot: pa.Table, least_docs: int) -> pa.Table:
+    """The frequencies of a slot from its runs, by a heap of the runs' heads."""
+    runs, docs, postings, codes, counts, begin = [], [], [], [], [], 0
+    numbers: dict[str, int] = {}
+    for n, size, sources, terms, coded in zip(*(slot.column(c).to_pylist() for c in ("n", "postings", "sources", "terms", "coded")), strict=True):
+        raw = np.frombuffer(pa.decompress(coded, 16 * (n + size), "zstd", asbytes=True), "<i8")
+        runs.append(zip(terms.split(b" "), range(begin, begin + n), strict=True))
+        begin += n
+        docs.append(raw[:n])
+        postings.append(raw[n : 2 * n])
+        codes.append(np.array([numbers.setdefault(s, len(numbers)) for s in sources])[raw[2 * n : 2 * n + size]])
+        counts.append(raw[2 * n + size :])
+    docs, postings, codes, counts = map(np.concatenate, (docs, postings, codes, counts))
+    term_of, found = np.zeros(begin, np.int64), []
+    before = None
+    for term, at in heapq.merge(*runs):
+        if term != before:
+            found.append(term)
+            before = term
+        term_of[at] = len(found) - 1
+    seen = np.zeros(len(found), np.int64)
+    np.add.at(seen, term_of, docs)
+    of = np.repeat(term_of, postings)
+    keep = seen[of] >= least_docs
+    key, at = np.unique(of[keep] * len(numbers) + codes[keep], return_inverse=True)
+    sums = np.zeros(len(key), np.int64)
+    np.add.at(sums, at, counts[keep])
+    own, source = np.divmod(key, max(len(numbers), 1))
+    kept, sizes = np.unique(own, return_counts=True)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    names = pa.array(list(numbers), pa.string()).take(pa.array(source))
+    lang = slot.column("lang")[0].as_py()
     return pa.table(
-        [pa.array(lang, pa.string()), pa.array(term, pa.string()), pa.array(docs, pa.int64()), pa.array(sources, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))],
+        [
+            pa.array([lang] * len(kept), pa.string()), pa.array([found[i] for i in kept.tolist()], pa.binary()).cast(pa.string()), pa.array(seen[kept], pa.int64()),
+            pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(sums, pa.int64())),
+        ],
         names=["lang", "term", "docs", "sources", "counts"],
     )
 
 
 def frequencies(
-    docs: DataFrame, least_docs: int = 3, text_column: str = "text", lang_column: str = "lang", source_column: str = "source", postings: int = POSTINGS, shard_rows: int = SHARD_ROWS
+    docs: DataFrame, least_docs: int = 3, text_column: str = "text", lang_column: str = "lang", source_column: str = "source", postings: int = POSTINGS
 ) -> DataFrame:
     """``lang, term, docs, sources, counts`` of every term in at least ``least_docs`` documents of its language, as a written table."""
-    runs = settle(index_runs(docs, text_column, lang_column, source_column, postings), "runs")
-    shards = _parts(runs, shard_rows)
-    sharded = runs.withColumn("shard", F.pmod(F.xxhash64("lang", "term"), shards))
-    merged = sharded.groupBy("shard").applyInArrow(lambda t: merge_runs(t, least_docs), "lang string, term string, docs long, sources array<string>, counts array<long>")
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, docs.count() // SLOT_DOCS))
+    runs = settle(index_runs(docs, slots, text_column, lang_column, source_column, postings), "runs")
+    merged = runs.groupBy("lang", "slot").applyInArrow(lambda t: merge_runs(t, least_docs), "lang string, term string, docs long, sources array<string>, counts array<long>")
     return settle(merged, "frequencies")
 
 
-def _parts(frame: DataFrame, rows: int) -> int:
-    """How many parts of about ``rows`` rows a written table gives, as many as there are shuffle partitions at least."""
-    return max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-frame.count() // rows))
-
-
 def _shares(counts: np.ndarray, total: int, size: int) -> np.ndarray:
     """p of each count; in two steps, for 10^9 (c + 1) may pass 64 bits."""
     first, rest = np.divmod((counts + 1) * 100_000, total + size)
@@ -228,7 +246,7 @@ def audit(
 
 
 def _pairs(groups: DataFrame, met: DataFrame) -> DataFrame:
-    chunks = _parts(met, CHUNK_ROWS)
+    chunks = max(LEAST_CHUNKS, -(-met.count() // CHUNK_ROWS))
     key = ["lang", "chunk", "low", "high"]
 
     def of_pairs(frame: DataFrame, chunk: Column) -> DataFrame:
