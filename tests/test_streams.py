@@ -93,6 +93,29 @@ def test_scoring_stream_and_replay(spark, live, batch):
     assert scoring.read_persisted(spark, path, "predictions").count() == good.count()
 
 
+def test_models_in_a_stream_equal_the_batch(spark):
+    from test_flows import make_flows
+    from vigilflow.plans import training
+
+    raw = make_flows(spark, 240)
+    models = training.train(raw, ["flow_id"], depth=4)
+    sent = raw.drop("flow_id", "label")
+    at = F.lit("2024-05-01 00:00:00").cast("timestamp_ntz").alias("timestamp")
+    rows_ = raw.select(F.col("flow_id").cast("string").alias("id"), at, F.to_json(F.struct(*sent.columns)).alias("payload"))
+    odd = spark.createDataFrame([("n", None), ("t", "no json"), ("e", "{}"), ("x", '{"flow_duration": "abc"}')], "id string, payload string")
+    path = scratch_path(spark, "models-live")
+    rows_.unionByName(odd.withColumn("timestamp", at).select("id", "timestamp", "payload")).repartition(3).write.parquet(f"{path}/sent")
+    live = spark.readStream.schema("id string, timestamp timestamp_ntz, payload string").option("maxFilesPerTrigger", 1).parquet(f"{path}/sent")
+    jobs.predict_stream(live, "payload", sent.schema, models.params, models.anomaly, models.threat, f"{path}/out", f"{path}/c")
+    stored = scoring.read_persisted(spark, f"{path}/out", "predictions")
+    refused = {r.id: r.reasons for r in spark.read.parquet(f"{path}/out/quarantine").collect()}
+    assert {"n", "t", "e", "x"} <= refused.keys() and all(refused.values())
+    assert stored.count() + len(refused) == raw.count() + 4 and stored.select("batch_id").distinct().count() == 3
+    batch = scoring.unified_predict(raw, models.params, models.anomaly, models.threat, ["flow_id"]).withColumn("id", F.col("flow_id").cast("string"))
+    picked = ("id", "predicted_threat", "anomaly_score", "classification_confidence", "risk_level", "summary")
+    assert rows(stored.select(*picked)) == rows(batch.filter(~F.col("id").isin(list(refused))).select(*picked))
+
+
 def test_unfinished_batches_are_not_read(spark, batch):
     path = scratch_path(spark, "unfinished")
     scored = batch.predictions.limit(10)

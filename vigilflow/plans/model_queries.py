@@ -226,6 +226,55 @@ def random_forest_invariants(t):
     )
 
 
+#: Splits of a small classifier: tree, node, feature, threshold, left, right; the counts come from the rows.
+SMALL_CLASSIFIER = [
+    (0, 0, 0, 0.0, 1, 2),
+    (0, 1, -1, 0.0, -1, -1),
+    (0, 2, 1, 0.1, 3, 4),
+    (0, 3, -1, 0.0, -1, -1),
+    (0, 4, -1, 0.0, -1, -1),
+    (1, 0, 1, -0.05, 1, 2),
+    (1, 1, -1, 0.0, -1, -1),
+    (1, 2, -1, 0.0, -1, -1),
+]
+LEAVES = """SELECT vec_id AS id, 'class' || label AS class, CASE WHEN embedding[1] <= 0 THEN 1 WHEN embedding[2] <= 0.1::DOUBLE THEN 3 ELSE 4 END AS a,
+      CASE WHEN embedding[2] <= -0.05::DOUBLE THEN 1 ELSE 2 END AS b FROM embeddings"""
+
+
+def small_classifier(t):
+    nodes = pd.DataFrame(SMALL_CLASSIFIER, columns=["tree", "node", "feature", "threshold", "left", "right"])
+    return forest.NodeForest(["v0", "v1"], [], nodes).refit(vectors(t), "label")
+
+
+@query(
+    "random_forest_walk",
+    """SELECT x.id, c.class, round((coalesce(p.share, 0) + coalesce(q.share, 0)) / 2, 4) AS probability
+    FROM x CROSS JOIN (SELECT DISTINCT class FROM x) c LEFT JOIN p ON p.a = x.a AND p.class = c.class LEFT JOIN q ON q.b = x.b AND q.class = c.class""",
+    x=LEAVES,
+    p="SELECT a, class, count(*) / sum(count(*)) OVER (PARTITION BY a) AS share FROM x GROUP BY a, class",
+    q="SELECT b, class, count(*) / sum(count(*)) OVER (PARTITION BY b) AS share FROM x GROUP BY b, class",
+)
+def random_forest_walk(t):
+    """Class probabilities by a known forest, refitted to all rows, so that every value can be held against SQL."""
+    return small_classifier(t).score(vectors(t)).select("id", F.explode("class_probabilities").alias("class", "probability"))
+
+
+@query(
+    "random_forest_importance",
+    """SELECT feature, round(value, 6) AS importance, round(sum(round(value, 6)) OVER (ORDER BY value DESC ROWS UNBOUNDED PRECEDING), 6) AS cumulative_importance
+    FROM (SELECT 'v0' AS feature, (root - l1 - r) / (root - l1 - l3 - l4) / 2 AS value FROM g UNION ALL SELECT 'v1', (r - l3 - l4) / (root - l1 - l3 - l4) / 2 + 0.5::DOUBLE FROM g)""",
+    x=LEAVES,
+    n="""SELECT k, class, count(*) AS n FROM (SELECT 'root' AS k, class FROM x UNION ALL SELECT 'r', class FROM x WHERE a > 1 UNION ALL SELECT 'l' || a, class FROM x) GROUP BY k, class""",
+    m="SELECT k, sum(n) - sum(n * n) / sum(n) AS m FROM n GROUP BY k",
+    g="""SELECT max(m) FILTER (WHERE k = 'root') AS root, max(m) FILTER (WHERE k = 'r') AS r, max(m) FILTER (WHERE k = 'l1') AS l1,
+      max(m) FILTER (WHERE k = 'l3') AS l3, max(m) FILTER (WHERE k = 'l4') AS l4 FROM m""",
+)
+def random_forest_importance(t):
+    """Importances and their running sum from the nodes of the refitted forest."""
+    model = small_classifier(t)
+    return forest.node_importance(model.frame(t.spark), model.features).select("feature", "importance", "cumulative_importance")
+
+
 IMPORTANCE = """SELECT event_type AS feature, round(count(*) / (SELECT count(*) FROM events), 6) AS importance FROM events GROUP BY 1"""
 
 

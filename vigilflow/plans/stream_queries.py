@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from vigilflow.functions.expr import iso as spark_iso
 from vigilflow.operators import analytics as A, scoring
 from vigilflow.plans.case_queries import ALERT_REQUESTS, ALERT_WALK, alert_requests, register_walk
+from vigilflow.plans import training
 from vigilflow.plans.hunting_queries import texts
+from vigilflow.plans.model_queries import flow_rows
 from vigilflow.plans.registry import query
 from vigilflow.plans.views_sql import iso
-from vigilflow.session import scratch_path
+from vigilflow.session import scratch_path, settle
 from vigilflow.streaming import jobs, runner
 
 DELAY, DELAY_SQL = "10 minutes", "INTERVAL 10 MINUTE"
@@ -38,6 +40,37 @@ def stream_score(t):
     return texts(rows.select("id", "timestamp", "predicted_threat", "risk_level", "recommended_action"), "timestamp")
 
 
+@query(
+    "stream_predict",
+    """SELECT flow_id AS id, accepted, NOT accepted AS quarantined, CASE WHEN accepted THEN true END AS same_class, CASE WHEN accepted THEN true END AS same_score, CASE WHEN accepted THEN true END AS same_level
+    FROM (SELECT flow_id, isfinite(flow_bytes_per_s) AND coalesce(down_per_up_ratio, '') <> 'Infinity' AS accepted FROM flows)""",
+    "flows",
+)
+def stream_predict(t):
+    """Flows sent as JSON over several files, judged by models in the stream; beside each the batch answer."""
+    spark = t.spark
+    models = training.train(flow_rows(t), ["flow_id"])
+    path = scratch_path(spark, "stream-predict")
+    # rows may share a flow's id, so each is sent under a number of its own; payloads hold no colons
+    flows = t.domain.flows.withColumns({"id": F.expr("concat(flow_id, '/', monotonically_increasing_id())"), "captured_at": F.date_format("captured_at", "yyyy-MM-dd")})
+    flows = settle(flows, "flows")
+    sent = flows.drop("id", "flow_id", "label")
+    text = F.to_json(F.struct(*sent.columns)).alias("payload")
+    flows.select("id", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("timestamp"), text).repartition(4, "id").write.parquet(f"{path}/sent")
+    live = spark.readStream.schema("id string, timestamp timestamp_ntz, payload string").option("maxFilesPerTrigger", 2).parquet(f"{path}/sent")
+    jobs.predict_stream(live, "payload", sent.schema, models.params, models.anomaly, models.threat, f"{path}/out", f"{path}/checkpoint")
+    stored = scoring.read_persisted(spark, f"{path}/out", "predictions").select("id", "predicted_threat", "anomaly_score", "risk_level", F.lit(True).alias("accepted"))
+    refused = spark.read.parquet(f"{path}/out/quarantine").select("id", F.lit(True).alias("quarantined"))
+    batch = scoring.unified_predict(flows, models.params, models.anomaly, models.threat, ["id", "flow_id"])
+    batch = batch.select("id", "flow_id", F.col("predicted_threat").alias("threat"), F.col("anomaly_score").alias("score"), F.col("risk_level").alias("level"))
+    both = batch.join(stored, "id", "left").join(refused, "id", "left")
+    return both.select(
+        F.col("flow_id").alias("id"), F.coalesce("accepted", F.lit(False)).alias("accepted"), F.coalesce("quarantined", F.lit(False)).alias("quarantined"),
+        (F.col("predicted_threat") == F.col("threat")).alias("same_class"), (F.col("anomaly_score") == F.col("score")).alias("same_score"),
+        (F.col("risk_level") == F.col("level")).alias("same_level"),
+    )
+
+
 @query(
     "stream_counters",
     """SELECT (SELECT count(*) FROM predictions) AS predictions, (SELECT count(*) FROM alerts) AS alerts,

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from vigilflow import fixed_values as V
 from vigilflow.functions.expr import count_if
-from vigilflow.operators import quality, scoring
+from vigilflow.operators import fitting, forest, isolation, quality, scoring
 from vigilflow.operators.analytics import known_source, timeline_counters
 from vigilflow.operators.paging import newest_first
 from vigilflow.streaming.runner import each_batch
@@ -36,6 +36,27 @@ def score_stream(flows: DataFrame, payload: str, score: Callable[[DataFrame], Da
     each_batch(flows, store, checkpoint)
 
 
+def predict_stream(
+    payloads: DataFrame, payload: str, fields: T.StructType, params: fitting.FittedParams, anomaly: isolation.IsolationModel,
+    threat: forest.ThreatModel, path: str, checkpoint: str,
+) -> None:
+    """Raw JSON payloads (``id``, ``timestamp``, text) through validation, features, both models and triage.
+
+    ``fields`` are the flow columns read from a payload; missing ones are NULL
+    and filled as in the fit, unknown ones ignored.  Refused payloads go to
+    ``quarantine`` with their reasons, the others as in ``score_stream``; every flow
+    is scored by the same plan as ``scoring.unified_predict`` in batch.
+    """
+
+    absent = {c: F.lit(None).cast("string") for c in ("source_ip", "destination_ip") if c not in fields.fieldNames()}
+
+    def score(good: DataFrame) -> DataFrame:
+        flows = good.select("id", "timestamp", F.from_json(payload, fields).alias("_flow")).select("id", "timestamp", "_flow.*").withColumns(absent)
+        return scoring.unified_predict(flows, params, anomaly, threat, ["id", "timestamp", "source_ip", "destination_ip"])
+
+    score_stream(payloads, payload, score, path, checkpoint)
+
+
 def session_counters(predictions: DataFrame, alerts: DataFrame) -> DataFrame:
     """Running totals; the state is a single row."""
     nothing = F.lit(None).cast("string")
