@@ -317,22 +317,37 @@ def full_training_job(t):
     return training.train(flow_rows(t), ["flow_id"]).catalog(t.spark)
 
 
+#: Raw labels of the dictionary, given in turn, and the class that each one names.
+RAW_LABELS = {"Benign": "BENIGN", "DoS Hulk": "DoS", "PortScan": "Port Scan", "SSH-Patator": "Brute Force"}
+
+
+def labelled_vectors(t):
+    """The vectors under labels of several classes."""
+    names = F.array(*[F.lit(x) for x in RAW_LABELS])
+    own = t.embeddings.select(F.col("vec_id").alias("id"), F.get(names, (F.col("label") % len(RAW_LABELS)).cast("int")).alias("raw"))
+    return vectors(t).join(own, "id").withColumn("label", F.col("raw")).drop("raw")
+
+
+CLASS_SQL = f"({list(RAW_LABELS.values())!r})[label % {len(RAW_LABELS)} + 1]"
+
+
 @query("model_catalog")
 def model_catalog(t):
-    rows = vectors(t)
+    rows = labelled_vectors(t)
     models = training.train(rows, ["id"])
     return models.catalog(t.spark)
 
 
 @query(
     "model_catalog_counts",
-    """SELECT '1.0.0' AS model_version, (SELECT count(*) - ceil(count(*) * 0.3::DOUBLE)::BIGINT FROM embeddings) AS train_samples, (SELECT ceil(count(*) * 0.3::DOUBLE)::BIGINT FROM embeddings) AS test_samples,
-      true AS stratified, 64 AS total_features, 'Other Attack' AS classes,
+    f"""SELECT '1.0.0' AS model_version, (SELECT count(*) - ceil(count(*) * 0.3::DOUBLE)::BIGINT FROM embeddings) AS train_samples, (SELECT ceil(count(*) * 0.3::DOUBLE)::BIGINT FROM embeddings) AS test_samples,
+      true AS stratified, 64 AS total_features,
+      (SELECT string_agg(DISTINCT class, ',' ORDER BY class) FROM (SELECT {CLASS_SQL} AS class FROM embeddings)) AS classes,
       150 AS anomaly_trees, 256 AS anomaly_sample, 0.05::DOUBLE AS anomaly_contamination, 100 AS classifier_trees, 16 AS classifier_depth, 42 AS random_state,
       (SELECT ceil(count(*) * 0.3::DOUBLE)::BIGINT FROM embeddings)::DOUBLE AS sample_count""",
 )
 def model_catalog_counts(t):
-    """What of the catalog follows from the data and the settings; no label here is in the dictionary."""
+    """What of the catalog follows from the data and the settings."""
     return model_catalog(t).select(
         "model_version", "train_samples", "test_samples", "stratified", "total_features", "classes", "anomaly_trees", "anomaly_sample", "anomaly_contamination",
         "classifier_trees", "classifier_depth", "random_state", "sample_count",
@@ -341,8 +356,8 @@ def model_catalog_counts(t):
 
 @query("model_artifacts", "SELECT vec_id AS id, true AS same_score, true AS same_class FROM embeddings")
 def model_artifacts(t):
-    """Saved and loaded models must score alike."""
-    rows = vectors(t)
+    """Saved and loaded models of several classes must score alike."""
+    rows = labelled_vectors(t)
     models = training.train(rows, ["id"])
     path = scratch_path(t.spark, "models")
     models.save(t.spark, path)
