@@ -11,6 +11,9 @@ from vigilflow.operators.cleaning import constant_flags, is_infinite, is_missing
 from vigilflow.operators.fitting import category_counts
 from vigilflow.operators.quantiles import exact_quantiles
 
+#: Rows of the hash slice that is searched for repeated values.
+SLICE_ROWS = 1_000_000
+
 
 def _as_rows(wide: DataFrame, columns: list[str], **per_column) -> DataFrame:
     """Turns aggregates named ``<prefix><i>`` into one row per column."""
@@ -66,20 +69,43 @@ def profile_problems(stats: DataFrame) -> DataFrame:
     return stats.select("column_name", F.explode(F.array_compact(reasons)).alias("reason"))
 
 
-def unique_columns(df: DataFrame) -> list[str]:
+def _most_frequent(cells: DataFrame) -> dict[int, int]:
+    """Rows of the most frequent value per column number of ``i, v``; one row per column reaches the driver."""
+    counts = cells.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    return {r["i"]: r["n"] for r in counts.groupBy("i").agg(F.max("n").alias("n")).collect()}
+
+
+def unique_columns(df: DataFrame, slice_rows: int = SLICE_ROWS) -> list[str]:
     """Columns with a different value in every row (one NULL is a value too).
 
-    Exact, in one job: every cell becomes a hash, hashes of a column are counted,
-    and columns with a repeated one go.
+    One scan sketches how many values every column has.  Columns with clearly fewer
+    values than rows, or with two missing ones, cannot be unique; as a sketch is no proof, a repeat is
+    looked for among the values of one hash slice, some ``slice_rows`` rows.  Only
+    the others, and those without a repeat there, are counted in full, so the
+    rows shuffled follow the columns that may be unique.
     """
-    cells = [
-        F.struct(F.lit(i).alias("i"), F.when(~is_missing(c, d), F.sha2(F.col(f"`{c}`").cast("string"), 256)).alias("v"))
-        for i, (c, d) in enumerate(df.dtypes)
-    ]
-    counts = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.groupBy("i").agg(F.max("n").alias("n")).filter("n = 1").collect()
-    unique = {r["i"] for r in largest}
-    return [c for i, c in enumerate(df.columns) if i in unique]
+    texts = [F.when(~is_missing(c, d), F.col(f"`{c}`").cast("string")) for c, d in df.dtypes]
+    sketch = [F.approx_count_distinct(v, 0.02).alias(f"d{i}") for i, v in enumerate(texts)]
+    known = df.agg(F.count(F.lit(1)).alias("rows"), *sketch, *[F.count(v).alias(f"k{i}") for i, v in enumerate(texts)]).first()
+    rows, open_ = known["rows"], [i for i in range(len(texts)) if known["rows"] - known[f"k{i}"] <= 1]
+
+    def cells(chosen: list[int]) -> DataFrame:
+        made = F.array(*[F.struct(F.lit(i).alias("i"), texts[i].alias("t")) for i in chosen])
+        return df.select(F.explode(made).alias("x")).select("x.i", "x.t")
+
+    def digest(found: DataFrame) -> DataFrame:
+        return found.select("i", F.sha2("t", 256).alias("v"))
+
+    fewer = [i for i in open_ if known[f"d{i}"] < 0.85 * known[f"k{i}"]]
+    slices = rows // max(slice_rows, 1)
+    if fewer and slices > 1:
+        part = F.pmod(F.xxhash64("t"), F.lit(slices)) == 0
+        repeated = {i for i, n in _most_frequent(digest(cells(fewer).filter(part))).items() if n > 1}
+        open_ = [i for i in open_ if i not in repeated]
+    if not open_:
+        return []
+    largest = _most_frequent(digest(cells(open_)))
+    return [c for i, c in enumerate(df.columns) if largest.get(i) == 1]
 
 
 def profile_identifiers(df: DataFrame) -> DataFrame:

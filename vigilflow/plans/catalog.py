@@ -8,5 +8,6 @@ from vigilflow.plans import (  # noqa: F401
     model_queries,
     report_queries,
     stream_queries,
+    upkeep_queries,
 )
 from vigilflow.plans.registry import ORACLES, QUERIES  # noqa: F401

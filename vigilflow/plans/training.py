@@ -7,10 +7,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilflow import fixed_values as V
-from vigilflow.operators import cleaning, evaluation, fitting, forest, isolation
+from vigilflow.operators import cleaning, evaluation, fitting, forest, isolation, versions
 from vigilflow.operators.analytics import counts_with_share
 from vigilflow.session import settle
 
+#: Parts of the saved models and their types.
+PARTS = {"params": "FittedParams", "anomaly": "IsolationModel", "threat": "ThreatModel"}
+
 
 def prepare_dataset(raw: DataFrame, scaler: str = "robust") -> tuple[DataFrame, fitting.FittedParams]:
     """(feature matrix with the three label columns, fitted parameters)."""
@@ -95,17 +98,23 @@ class Models:
         }
         return spark.createDataFrame([row])
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        self.params.save(spark, f"{path}/params")
-        self.anomaly.save(spark, f"{path}/anomaly")
-        self.threat.save(spark, f"{path}/threat")
+    def save(self, spark: SparkSession, path: str) -> str:
+        """Publishes a new version below ``path``; until all of it is written the one before stays current."""
+
+        def write(folder: str) -> None:
+            for part in PARTS:
+                getattr(self, part).save(spark, f"{folder}/{part}")
+
+        return versions.publish(spark, path, PARTS, write)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Models":
+        """The current version, its files checked against the manifest."""
+        folder = versions.current(spark, path, PARTS)
         return cls(
-            fitting.FittedParams.load(spark, f"{path}/params"),
-            isolation.IsolationModel.load(spark, f"{path}/anomaly"),
-            forest.ThreatModel.load(spark, f"{path}/threat"),
+            fitting.FittedParams.load(spark, f"{folder}/params"),
+            isolation.IsolationModel.load(spark, f"{folder}/anomaly"),
+            forest.ThreatModel.load(spark, f"{folder}/threat"),
         )
 
 

@@ -187,6 +187,11 @@ def alert_states(requests: DataFrame, alerts: DataFrame) -> DataFrame:
         F.min(F.when(F.col("target") == "ACKNOWLEDGED", place)).alias("ack"),
         F.min(F.when(F.col("target") == "RESOLVED", place)).alias("resolved"),
     )
+    return alert_status(firsts)
+
+
+def alert_status(firsts: DataFrame) -> DataFrame:
+    """Status and times per alert from its ``initial`` status and first requests, ``ack`` and ``resolved``."""
     resolved = F.when(F.col("initial").isin(V.OPEN_ALERT_STATUSES), F.col("resolved"))
     acked = F.when(
         (F.col("initial") == "NEW") & F.col("ack").isNotNull() & (resolved.isNull() | (F.col("ack") < resolved)), F.col("ack")
