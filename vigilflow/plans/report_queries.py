@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from vigilflow import fixed_values as V
 from vigilflow.functions import privacy, timerange
-from vigilflow.operators import evidence as E, reports as R, retention as T
+from vigilflow.operators import evidence as E, evidence_tree as HT, reports as R, retention as T
 from vigilflow.plans.hunting_queries import texts
 from vigilflow.plans.registry import query
 from vigilflow.plans.views_sql import fixed, iso, pct
-from vigilflow.session import scratch_path
+from vigilflow.session import scratch_path, settle
 from vigilflow.sources.domain import AS_OF
 
 WEEK = timerange.resolve("last_7d", AS_OF)
@@ -321,6 +321,22 @@ def evidence_verify(t):
     return E.evidence_verify(forged, incidents, items)
 
 
+@query(
+    "evidence_differences",
+    """SELECT incident_id, part, sha256(part || '|' || item) AS digest, count(*) AS copies_before, 0 AS copies_now FROM items WHERE part = 'notes' AND incident_id % 7 = 0 GROUP BY ALL
+    UNION ALL SELECT incident_id, part, sha256(part || '|' || item || ' '), 0, count(*) FROM items WHERE part = 'notes' AND incident_id % 7 = 0 GROUP BY ALL""",
+    ALL_CASE,
+    items=ITEMS,
+)
+def evidence_differences(t):
+    """A stored tree finds the notes that were changed after it was built, and nothing else."""
+    incidents, items = package(t)
+    recorded = settle(HT.leaves(incidents, items), "leaves")
+    tree = settle(HT.nodes(recorded, HT.depths(recorded)), "tree")
+    touched = (F.col("part") == "notes") & (F.col("incident_id") % 7 == 0)
+    return HT.differences(tree, recorded, incidents, items.withColumn("item", F.when(touched, F.concat("item", F.lit(" "))).otherwise(F.col("item"))))
+
+
 @query("evidence_files", "SELECT part, count(*) AS rows FROM (SELECT part FROM items UNION ALL SELECT 'incident_overview' FROM incidents) GROUP BY 1", ALL_CASE, items=ITEMS)
 def evidence_files(t):
     incidents, items = package(t)
