@@ -1,14 +1,16 @@
 """What travels between tasks: keys and digests, not texts."""
 
 import os
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from test_privacy_evidence import package
 from test_evidence_tree import package as tree_package
-from vigilflow.operators import evidence as E, evidence_tree as HT
-from vigilflow.session import scratch_path
+from vigilflow.functions.skew import join_facts
+from vigilflow.operators import cases, evidence as E, evidence_tree as HT
+from vigilflow.session import scratch_path, settle
 
 
 @pytest.fixture
@@ -54,3 +56,32 @@ def test_trees_are_stored_small(spark):
     incidents, items = tree_package(spark)
     found = HT.leaves(incidents, items)
     assert all(".zstd." in os.path.basename(f) for f in HT.nodes(found, HT.depths(found)).inputFiles())
+
+
+def test_rows_without_a_key_are_spread(shuffled):
+    rows = shuffled.range(6400).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("k"), F.col("id").alias("n"), F.lit("x").alias("wide"))
+    facts = shuffled.range(0, 6400, 20).select(F.col("id").alias("k"), F.lit("known").alias("fact"))
+    joined = join_facts(rows, facts, "k", spread_by=["n"])
+    keys = [line for line in plan(joined) if "Exchange hashpartitioning" in line]
+    assert len(keys) == 2 and all("_salt" in line for line in keys)
+    assert {(r["fact"], r["count"]) for r in joined.groupBy("fact").count().collect()} == {("known", 320), (None, 6080)}
+
+
+def test_requests_are_judged_once(shuffled, monkeypatch):
+    """The chain of look-ups is read three times, so it is written first."""
+    written = []
+    monkeypatch.setattr(cases, "settle", lambda df, name: written.append(name) or settle(df, name))
+    created = datetime(2024, 1, 1)
+    requests = shuffled.createDataFrame(
+        [(1, 7, None, None, None, "a", None, created), (2, 7, None, None, None, "b", None, created), (3, 8, None, None, None, "c", None, created)],
+        "request_id long, alert_id long, prediction_id long, severity string, category string, title string, assigned_to string, created_at timestamp_ntz",
+    )
+    alerts = shuffled.createDataFrame([(7, "HIGH", "DoS", "10.0.0.1", 1)], "id long, severity string, threat_label string, source_ip string, prediction_id long")
+    predictions = shuffled.createDataFrame([], "id long, risk_level string, predicted_threat string, source_ip string")
+    incidents = shuffled.createDataFrame([], "id long, incident_key string, status string")
+    links = shuffled.createDataFrame([], "incident_id long, alert_id long")
+    users = shuffled.createDataFrame([], "username string, role string, is_active boolean")
+    accepted, refused = cases.create_incidents(requests, incidents, links, alerts, predictions, users)
+    assert [(r.request_id, r.incident_key, r.severity) for r in accepted.collect()] == [(1, "INC-2024-000001", "HIGH")]
+    assert {(r.request_id, r.reason) for r in refused.collect()} == {(2, "active incident exists"), (3, "alert not found")}
+    assert written.index("judged") < written.index("case-numbers")
