@@ -10,6 +10,7 @@ from test_privacy_evidence import package
 from test_evidence_tree import package as tree_package
 from vigilflow.functions.skew import join_facts
 from vigilflow.operators import cases, evidence as E, evidence_tree as HT
+from vigilflow.plans import training
 from vigilflow.session import scratch_path, settle
 
 
@@ -85,3 +86,13 @@ def test_requests_are_judged_once(shuffled, monkeypatch):
     assert [(r.request_id, r.incident_key, r.severity) for r in accepted.collect()] == [(1, "INC-2024-000001", "HIGH")]
     assert {(r.request_id, r.reason) for r in refused.collect()} == {(2, "active incident exists"), (3, "alert not found")}
     assert written.index("judged") < written.index("case-numbers")
+
+
+def test_duplicates_are_removed_once(spark, monkeypatch):
+    raw = spark.createDataFrame([(float(i % 50), i % 7, "DoS" if i % 2 else "BENIGN") for i in range(400)], "flow_duration double, total_fwd_packets int, label string")
+    written = []
+    monkeypatch.setattr(training, "settle", lambda df, name: written.append(name) or settle(df, name))
+    meta = training.dataset_metadata(raw, "flows", False).first()
+    assert (meta.original_row_count, meta.processed_row_count, meta.duplicates_removed) == (400, 350, 50)
+    matrix, _ = training.prepare_dataset(raw)
+    assert matrix.count() == 350 and written == ["unique", "unique"]
