@@ -10,7 +10,7 @@ from test_privacy_evidence import package
 from test_evidence_tree import package as tree_package
 from vigilflow.functions.skew import join_facts
 from vigilflow.operators import cases, evidence as E, evidence_tree as HT
-from vigilflow.plans import training
+from vigilflow.plans import training, upkeep_queries
 from vigilflow.session import scratch_path, settle
 
 
@@ -96,3 +96,8 @@ def test_duplicates_are_removed_once(spark, monkeypatch):
     assert (meta.original_row_count, meta.processed_row_count, meta.duplicates_removed) == (400, 350, 50)
     matrix, _ = training.prepare_dataset(raw)
     assert matrix.count() == 350 and written == ["unique", "unique"]
+
+
+@pytest.mark.parametrize("files", [0, 1, 8, 17, 400, 10_001])
+def test_batches_do_not_grow_with_the_files(files):
+    assert -(-files // upkeep_queries.files_per_batch(files)) <= upkeep_queries.SLICES

@@ -105,6 +105,11 @@ def drift_baseline(t):
 SLICES = 6
 
 
+def files_per_batch(files: int) -> int:
+    """A slice has the more files the larger the input; with these a batch, there are no more batches than slices."""
+    return max(2, -(-files // SLICES))
+
+
 @register_walk(
     "lifecycle_keyed_state",
     f"""SELECT alert_id, arg_max(CASE WHEN accepted THEN target ELSE status_before END, n) AS status,
@@ -128,7 +133,8 @@ def lifecycle_keyed_state(t):
             begin, end = first + i * width, first + (i + 1) * width
             inside = (F.col("requested_at") >= literal(begin)) & (F.col("requested_at") < literal(end))
             sent.filter(inside).write.mode("append").parquet(path)
-    live = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    files = len(spark.read.schema(sent.schema).parquet(path).inputFiles())
+    live = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", files_per_batch(files)).parquet(path)
     # files of one slice come in any order, so no request is later than a slice is wide
     delay = f"{int((last - first).total_seconds() / SLICES) + 3600} seconds" if first else "1 hour"
     states = keyed_state.alert_states(live, t.domain.alerts, delay)
